@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -41,13 +42,18 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: str
     return df.mapInArrow(run, ddl)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Cut the lineage with a copy in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) is one made here.
+    machine) is one made here. ``tidy``: then let Spark's cleaner find the shuffle files that nothing
+    needs any more, instead of some time later; it looks when the driver collects its garbage.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
