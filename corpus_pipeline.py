@@ -1,15 +1,56 @@
-"""Documents made ready for training, stage by stage."""
+"""Documents made ready for training, stage by stage.
+
+Each stage takes the rows that the one before kept and returns them with the columns of ``documents``; the last
+returns the tokens' digests instead. ``run`` applies them in order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarry.llm import bpe, decontaminate, pii, simhash, toxicity
+from quarry.llm.common import table
+from quarry.llm.registry import tokenizer_text
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the scorer learns from labelled rows that are not held out."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kind, in brackets."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text's number of tokens, and hashes of its ids and of what they decode to."""
+    return bpe.digest(docs, tokenizer_text())
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("simhash", near_duplicates),
+    ("decontaminate", contaminated),
+    ("pii", personal_data),
+    ("bpe", tokens),
+]
+#: Neither the trained scorer nor the tokenizer is an SQL expression; tests hold the stages against plain loops.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

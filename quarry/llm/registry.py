@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, decontaminate, pii, simhash, substrings, urls
+from quarry.llm import ann, bpe, chat, decontaminate, extract, pii, simhash, substrings, toxicity, urls
 from quarry.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_text())
 
@@ -37,6 +41,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_bpe, op4_urls, op5_decontaminate, op8_substrings, op9_ann, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_extract, op3_bpe, op4_urls, op5_decontaminate, op6_toxicity, op7_chat, op8_substrings, op9_ann, op10_simhash,
+)}
 ORACLE_SQL: dict[str, str] = {
     "op4_urls": urls.SQL,
     "op5_decontaminate": decontaminate.SQL,
