@@ -30,12 +30,13 @@ from quarry.llm.common import map_columns
 #: Words of up to so many characters are kept with their tokens; longer ones are streamed each time.
 WORD_KEPT = 64
 #: Words that a task keeps; it starts anew when there are more.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 250_000
 PAIRS_KEPT = 400_000
 #: Bytes read between two looks at what is stable.
 PIECE = 256
 #: In place of a last token: where a word begins; where none ends.
 BEGIN, NONE = -1, -2
+TOKEN = -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,7 +62,15 @@ class Merges:
         self.sizes = {i: len(b) for i, b in self.bytes.items()}
         #: Bytes after which the tokens before are settled, whatever follows: a bound of the merge list alone.
         self.lookahead = self.longest * len(self.ids)
-        self.tails = {b[k:] for b in self.ids for k in range(len(b))}
+        #: Tokens by their bytes from last to first; at TOKEN its id, and before which tokens it is known to fit.
+        self.back: dict = {}
+        self.fitting: list[dict[int, bool]] = []
+        for b, i in self.ids.items():
+            node = self.back
+            for byte in reversed(b):
+                node = node.setdefault(byte, {})
+            self.fitting.append({BEGIN: True, NONE: False})
+            node[TOKEN] = (i, self.fitting[-1])
 
     def merged(self, word: bytes) -> list[bytes]:
         """The merges applied in order of rank; for the short strings of the compatibility test."""
@@ -88,19 +97,23 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.pairs: dict[int, bool] = {}
+        self.pairs = 0
         self.words = Words(self)
 
-    def fits(self, a: int, b: int) -> bool:
-        if len(self.pairs) >= PAIRS_KEPT:
-            self.pairs.clear()
+    def fits(self, a: int, b: int, known: dict[int, bool]) -> bool:
+        self.pairs += 1
+        if self.pairs >= PAIRS_KEPT:
+            self.pairs = 0
+            for some in self.m.fitting:
+                some.clear()
+                some |= {BEGIN: True, NONE: False}
         left, right = self.m.bytes[a], self.m.bytes[b]
-        known = self.pairs[a << 32 | b] = self.m.merged(left + right) == [left, right]
-        return known
+        known[a] = found = self.m.merged(left + right) == [left, right]
+        return found
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
         """Tokens of one word, each as soon as no continuation can change it."""
-        ids, tails, pairs, fits, longest = self.m.ids, self.m.tails, self.pairs, self.fits, self.m.longest
+        back, fits, longest = self.m.back, self.fits, self.m.longest
         window = b""  # the bytes from the last emitted boundary on
         last = [BEGIN]  # last[i]: last token of the encoding of window[:i]; where it begins, the token emitted last
         check = 2 * longest
@@ -108,18 +121,18 @@ class Transducer:
             for at in range(0, len(chunk), PIECE):
                 i = len(window)
                 window += chunk[at : at + PIECE]
-                for i in range(i + 1, len(window) + 1):
-                    found = NONE
-                    for j in range(i - 1, -1, -1):
-                        piece = window[j:i]
-                        token = ids.get(piece)
-                        if token is not None and (before := last[j]) != NONE:
-                            known = before == BEGIN or pairs.get(before << 32 | token)
-                            if known or known is None and fits(before, token):
+                for i in range(i, len(window)):
+                    found, node = NONE, back
+                    for j in range(i, -1, -1):
+                        node = node.get(window[j])
+                        if node is None:
+                            break
+                        if TOKEN in node:
+                            token, known = node[TOKEN]
+                            fit = known.get(last[j])
+                            if fit or fit is None and fits(last[j], token, known):
                                 found = token
                                 break
-                        if piece not in tails:
-                            break
                     last.append(found)
                 if len(window) >= check:
                     if stable := self.shared(last):
@@ -153,16 +166,19 @@ class Transducer:
 
 
 class Words(dict):
-    """Ids of words seen, so that a common word is run once; of bounded size."""
+    """Ids of words seen, so that a common word is run once. The words of the generation before are kept too, so there are never more than twice WORDS_KEPT."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.transducer.word(word.encode())
+        found = self.older.get(word)
+        if found is None:
+            found = self.transducer.word(word.encode())
         if len(word) <= WORD_KEPT:
             if len(self) >= WORDS_KEPT:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
