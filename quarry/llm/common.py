@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -42,18 +41,23 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: str
     return df.mapInArrow(run, ddl)
 
 
-def checkpoint(df: DataFrame, tidy: bool = False) -> DataFrame:
+#: Has Spark remove a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) is one made here. ``tidy``: then let Spark's cleaner find the shuffle files that nothing
-    needs any more, instead of some time later; it looks when the driver collects its garbage.
+    machine) is one made here. The shuffle files that led to the copy are removed at once: the copy stands
+    in for them, and until the driver collects its garbage they would fill the executors' disks.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    out = df.checkpoint(eager=True)
-    if tidy:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made under that setting
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)

@@ -34,6 +34,8 @@ FREQUENT = 1000
 SHARD_RUNS = 16_384
 WORDS_KEPT = 200_000
 NO_ID = (1 << 63) - 1
+#: More than the words of any document; a place is its document's id times this, and its word.
+PLACES = 1 << 31
 
 
 class WordHashes(dict):
@@ -109,51 +111,53 @@ def read(docs: DataFrame, window: int, group: int) -> DataFrame:
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
-    """(m, id, print, run): a row for each run."""
+    """(m, id, print, run): a row for each run; ``run`` is its first window's place and its number of windows."""
 
     def make():
-        def work(ids, prints, lows):
+        def work(ids, prints, lows, sizes):
             m = [np.frombuffer(x, np.int64) for x in lows]
             n = [len(x) for x in m]
-            return [np.concatenate(m), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(prints, np.int64), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n])]
+            wide = [np.frombuffer(x, np.uint8).astype(np.int64) for x in sizes]
+            return [np.concatenate(m), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(prints, np.int64), n), np.concatenate([(np.cumsum(w) - w) << 8 | w for w in wide])]
 
         return work
 
-    return map_columns(packed.select("id", "print", "minimizers"), make, "m long, id long, print long, run int", rows=64)
+    return map_columns(packed.select("id", "print", "minimizers", "sizes"), make, "m long, id long, print long, run long", rows=64)
 
 
-PIECE_DDL = "shard int, id long, print long, at int, k1 long, k2 long, words string"
+PIECE_DDL = "shard int, id long, print long, at long, k1 long, k2 long, words string"
 
 
-def pieces(found: DataFrame, shards: int, window: int, group: int) -> DataFrame:
-    """The words of the runs picked: (shard, id, print, at, k1, k2, words); k1 and k2 hash the words."""
+def pieces(found: DataFrame, shards: int, window: int) -> DataFrame:
+    """The words of the runs picked: (shard, id, print, at, k1, k2, words); k1 and k2 hash the words.
+
+    ``runs`` has their places and minimizers; those of frequent minimizers are marked by a negative place.
+    """
 
     def make():
-        import xxhash
+        from xxhash import xxh64_intdigest
 
-        known = WordHashes()
+        half = 1 << 63
 
-        def work(ids, prints, texts, picked, frequent):
+        def work(ids, prints, texts, picked):
             out = [[] for _ in range(7)]
-            for i, p, t, some, often in zip(ids, prints, texts, picked, frequent, strict=True):
+            shard, i_, p_, at_, k1_, k2_, words_ = (c.append for c in out)
+            for i, p, t, some in zip(ids, prints, texts, picked, strict=True):
                 words = (t or "").encode().split()
-                lows, sizes = runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window, group)
-                begins = np.cumsum(sizes) - sizes
-                often = set(often)
                 for run in some:
-                    begin, size = int(begins[run]), int(sizes[run])
-                    parts = [(begin + j, window) for j in range(size)] if run in often else [(begin, size + window - 1)]
-                    for at, wide in parts:
+                    place, m = run["run"], run["m"]
+                    begin, size = (place if place >= 0 else ~place) >> 8, (place if place >= 0 else ~place) & 255
+                    for at, wide in ((begin, size + window - 1),) if place >= 0 else [(begin + j, window) for j in range(size)]:
                         piece = b" ".join(words[at : at + wide])
-                        k1 = xxhash.xxh64_intdigest(piece)
-                        key = k1 if run in often else int(lows[run])
-                        for column, value in zip(out, (key % shards, i, p, at, k1 - (1 << 63), xxhash.xxh64_intdigest(piece, 1) - (1 << 63), piece.decode()), strict=True):
-                            column.append(value)
+                        k1 = xxh64_intdigest(piece)
+                        shard((m if place >= 0 else k1) % shards)
+                        i_(i), p_(p), at_(at), k1_(k1 - half), k2_(xxh64_intdigest(piece, 1) - half), words_(piece)
+            out[6] = pa.array(out[6], pa.binary()).cast(pa.string())
             return out
 
         return work
 
-    return map_columns(found.select("id", "print", "text", "runs", "frequent"), make, PIECE_DDL, rows=64)
+    return map_columns(found.select("id", "print", "text", "runs"), make, PIECE_DDL, rows=64)
 
 
 def earliest(window: int):
@@ -173,18 +177,23 @@ def earliest(window: int):
         order[by_place] = np.arange(len(symbols))
         whole = np.full(len(index.suffixes), len(symbols), np.int64)
         whole[np.repeat(index.starts, lengths) + within] = order
-        # backward search, all windows abreast
+        # backward search, all windows abreast; one whose range has shrunk to one suffix has met only itself
         windows = lengths - window + 1
         line = np.repeat(np.arange(len(lengths)), windows)
         begin = np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(np.cumsum(lengths) - lengths, windows)
+        first = order[begin]
+        at = np.arange(len(begin))
         low, high = index.whole(len(begin))
         for step in range(window - 1, -1, -1):
-            low, high = index.extend(symbols[begin + step], low, high)
-        ranges, which = np.unique(low, return_inverse=True)
-        tops = np.empty(len(ranges), np.int64)
-        tops[which] = high
-        places = np.append(whole[index.suffixes], len(symbols))
-        first = np.minimum.reduceat(places, np.stack([ranges, tops], axis=1).ravel())[::2][which] if len(ranges) else ranges
+            low, high = index.extend(symbols[begin[at] + step], low, high)
+            several = high - low > 1
+            at, low, high = at[several], low[several], high[several]
+        if len(at):
+            ranges, which = np.unique(low, return_inverse=True)
+            tops = np.empty(len(ranges), np.int64)
+            tops[which] = high
+            places = np.append(whole[index.suffixes], len(symbols))
+            first[at] = np.minimum.reduceat(places, np.stack([ranges, tops], axis=1).ravel())[::2][which]
         first_id, first_at = ids[by_place[first]], ats[by_place[first]]
         own = first == order[begin]
         ends = np.cumsum(windows)
@@ -205,28 +214,33 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> tuple[
     repeat something. ``docs``: id (never null), print, text."""
     base = checkpoint(read(docs, window, group))
     classes = base.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    firsts = base.where(F.col("n") >= window).groupBy("sha").agg(F.min_by(F.struct("id", "print", "minimizers"), "id").alias("r")).select("r.*")
-    each = unpacked(firsts)
-    twice = each.groupBy("m").agg(F.count("*").alias("runs")).where("runs > 1")
-    picked = each.join(twice, "m").groupBy("id", "print").agg(
-        F.array_sort(F.collect_list("run")).alias("runs"), F.collect_list(F.when(F.col("runs") > FREQUENT, F.col("run"))).alias("frequent")
-    )
-    picked = checkpoint(picked, tidy=True)
+    picked = checkpoint(picks(base, window))
     shards = max(1, -(-(picked.agg(F.sum(F.size("runs"))).first()[0] or 0) // SHARD_RUNS))
-    with_text = checkpoint(docs.dropDuplicates(["id", "print"]).join(picked, ["id", "print"]), tidy=True)
-    piece = pieces(with_text, shards, window, group)
-    different = piece.groupBy("shard", "k1", "k2", "words").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("copies"))
-    first = different.select("shard", "k1", "k2", "words", "first.id", "first.at", "copies").groupBy("shard").applyInPandas(
-        earliest(window), "k1 long, k2 long, first_id array<long>, first_at array<long>"
-    )
+    # one plan from here on: the texts are shuffled once, and that exchange is used again
+    with_text = docs.join(picked, ["id", "print"])
+    piece = pieces(with_text, shards, window)
+    place = (F.col("id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("at")).cast("decimal(38,0)")
+    different = piece.groupBy("shard", "k1", "k2", "words").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
+    at = F.pmod("place", F.lit(PLACES).cast("decimal(38,0)"))
+    first = different.select("shard", "k1", "k2", "words", ((F.col("place") - at) / PLACES).cast("long").alias("id"), at.cast("long").alias("at"), "copies")
+    first = first.groupBy("shard").applyInPandas(earliest(window), "k1 long, k2 long, first_id array<long>, first_at array<long>")
     met = piece.select("id", "print", "at", "k1", "k2").join(first, ["k1", "k2"])
     later = F.filter(
         F.transform("first_id", lambda d, j: F.when((d < F.col("id")) | ((d == F.col("id")) & (F.get("first_at", j) < F.col("at") + j)), F.col("at") + j)),
         lambda s: s.isNotNull(),
     )
-    removed = met.select("id", "print", later.alias("starts")).where(F.size("starts") > 0).groupBy("id", "print").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    removed = met.select("id", "print", later.alias("starts")).where(F.size("starts") > 0).groupBy("id", "print").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
     rows = base.select("id", "print", "n", "sha").join(classes.where("rows > 1").select("sha", "first"), "sha", "left")
-    return rows, with_text.select("id", "print", "text").join(checkpoint(removed), ["id", "print"])
+    return rows, with_text.select("id", "print", "text").join(removed, ["id", "print"])
+
+
+def picks(base: DataFrame, window: int) -> DataFrame:
+    """(id, print, runs): of the first documents of each class, the runs whose minimizer comes twice."""
+    firsts = base.where(F.col("n") >= window).groupBy("sha").agg(F.min_by(F.struct("id", "print", "minimizers", "sizes"), "id").alias("r")).select("r.*")
+    each = unpacked(firsts)
+    twice = each.groupBy("m").agg(F.count("*").alias("runs")).where("runs > 1")
+    run = F.when(F.col("runs") > FREQUENT, F.bitwise_not("run")).otherwise(F.col("run"))
+    return each.join(twice, "m").groupBy("id", "print").agg(F.collect_list(F.struct(run.alias("run"), "m")).alias("runs"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,7 +266,7 @@ def digest(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFra
 
         return work
 
-    cut = map_columns(found, make, "id long, print long, n_left long, left_sha string", rows=64)
+    cut = map_columns(found, make, "id long, print long, n_left long, left_sha string", rows=64).dropDuplicates(["id", "print"])
     copy = (F.col("n") >= window) & (F.col("first") < F.col("id"))
     left = F.when(copy, 0).otherwise(F.coalesce("n_left", "n"))
     sha = F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("left_sha", "sha"))
