@@ -87,27 +87,43 @@ def runs(hashes: np.ndarray, window: int, group: int) -> tuple[np.ndarray, np.nd
     return values[at[begins]], np.diff(np.concatenate([begins, [len(at)]]))
 
 
-READ_DDL = "id long, print long, n long, sha string, minimizers binary, sizes binary"
+def counted(docs: DataFrame) -> DataFrame:
+    """(id, print, n, sha): each row's words, counted and hashed."""
+
+    def make():
+        def work(ids, prints, texts):
+            words = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
+            return [ids, prints, [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]]
+
+        return work
+
+    return map_columns(docs.select("id", "print", "text"), make, "id long, print long, n long, sha string")
 
 
-def read(docs: DataFrame, window: int, group: int) -> DataFrame:
-    """Each row's words counted and hashed, and its runs, packed."""
+def packed_runs(docs: DataFrame, window: int, group: int) -> DataFrame:
+    """(id, print, sha, minimizers, sizes): the runs of each row that has a window, packed."""
 
     def make():
         known = WordHashes()
 
         def work(ids, prints, texts):
-            out = [[], [], [], []]
-            for t in texts:
-                words = (t or "").encode().split()  # bytes split at ASCII white space only
+            out = [[], [], [], [], []]
+            for i, p, t in zip(ids, prints, texts, strict=True):
+                words = (t or "").encode().split()
+                if len(words) < window:
+                    continue
                 lows, sizes = runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window, group)
-                for column, value in zip(out, (len(words), hashlib.sha256(b" ".join(words)).hexdigest(), lows.tobytes(), sizes.astype(np.uint8).tobytes()), strict=True):
+                for column, value in zip(out, (i, p, hashlib.sha256(b" ".join(words)).hexdigest(), lows.tobytes(), sizes.astype(np.uint8).tobytes()), strict=True):
                     column.append(value)
-            return [ids, prints, *out]
+            return out
 
         return work
 
-    return map_columns(docs.select("id", "print", "text"), make, READ_DDL)
+    return map_columns(docs.select("id", "print", "text"), make, "id long, print long, sha string, minimizers binary, sizes binary")
+
+
+def joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -118,7 +134,7 @@ def unpacked(packed: DataFrame) -> DataFrame:
             m = [np.frombuffer(x, np.int64) for x in lows]
             n = [len(x) for x in m]
             wide = [np.frombuffer(x, np.uint8).astype(np.int64) for x in sizes]
-            return [np.concatenate(m), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(prints, np.int64), n), np.concatenate([(np.cumsum(w) - w) << 8 | w for w in wide])]
+            return [joined(m, np.int64), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(prints, np.int64), n), joined([(np.cumsum(w) - w) << 8 | w for w in wide], np.int64)]
 
         return work
 
@@ -212,9 +228,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> tuple[
     """(rows, found): ``rows`` has id, print, n, sha and ``first``, the smallest id with the same words, for each
     input row; ``found`` has id, print, text and ``removed`` array<struct<begin,end>> for first documents that
     repeat something. ``docs``: id (never null), print, text."""
-    base = checkpoint(read(docs, window, group))
+    base = checkpoint(counted(docs))
     classes = base.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    picked = checkpoint(picks(base, window))
+    picked = checkpoint(picks(docs, window, group))
     shards = max(1, -(-(picked.agg(F.sum(F.size("runs"))).first()[0] or 0) // SHARD_RUNS))
     # one plan from here on: the texts are shuffled once, and that exchange is used again
     with_text = docs.join(picked, ["id", "print"])
@@ -230,17 +246,24 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> tuple[
         lambda s: s.isNotNull(),
     )
     removed = met.select("id", "print", later.alias("starts")).where(F.size("starts") > 0).groupBy("id", "print").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
-    rows = base.select("id", "print", "n", "sha").join(classes.where("rows > 1").select("sha", "first"), "sha", "left")
+    again = classes.where("rows > 1").select(F.reverse("sha").alias("key"), "first")  # a key of its own, so that a large class can be split
+    rows = base.withColumn("key", F.reverse("sha")).join(again, "key", "left").drop("key")
     return rows, with_text.select("id", "print", "text").join(removed, ["id", "print"])
 
 
-def picks(base: DataFrame, window: int) -> DataFrame:
-    """(id, print, runs): of the first documents of each class, the runs whose minimizer comes twice."""
-    firsts = base.where(F.col("n") >= window).groupBy("sha").agg(F.min_by(F.struct("id", "print", "minimizers", "sizes"), "id").alias("r")).select("r.*")
+def picks(docs: DataFrame, window: int, group: int) -> DataFrame:
+    """(id, print, runs): of the first documents of each class, the runs whose minimizer comes twice.
+
+    The join's key is the minimizer's complement: both sides are dealt for the join alone, so that Spark can split
+    a minimizer that very many documents share.
+    """
+    packed = packed_runs(docs, window, group)
+    firsts = packed.groupBy("sha").agg(F.min_by(F.struct("id", "print", "minimizers", "sizes"), "id").alias("r")).select("r.*")
     each = unpacked(firsts)
-    twice = each.groupBy("m").agg(F.count("*").alias("runs")).where("runs > 1")
+    twice = each.groupBy("m").agg(F.count("*").alias("runs")).where("runs > 1").select(F.bitwise_not("m").alias("key"), "runs")
     run = F.when(F.col("runs") > FREQUENT, F.bitwise_not("run")).otherwise(F.col("run"))
-    return each.join(twice, "m").groupBy("id", "print").agg(F.collect_list(F.struct(run.alias("run"), "m")).alias("runs"))
+    met = each.withColumn("key", F.bitwise_not("m")).join(twice, "key")
+    return met.groupBy("id", "print").agg(F.collect_list(F.struct(run.alias("run"), "m")).alias("runs"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
