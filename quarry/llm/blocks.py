@@ -24,7 +24,9 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select", "datalist")}
 
 #: Sizes of the parts of a feature vector: names on the path, the last two tags, words, shape of the text.
-PATH, LAST, WORDS, SHAPE = 256, 64, 64, 10
+PATH, LAST, WORDS, SHAPE = 512, 64, 64, 10
+#: Salts of the hashes under which common tags and names of classes fall on different places, as far as there are places.
+ON_PATH, OF_TAG, OF_PARENT, OF_WORD = "n10153", "l15588", "u7448", "w"
 SIZE = PATH + LAST + WORDS + SHAPE
 
 
@@ -121,7 +123,7 @@ def blocks(page: str | None) -> list[Block]:
                 close(("p",), ("td", "th", "table", "button", "object"))
             if tag in ENDS:
                 close(ENDS[tag], WALLS[tag])
-            own_names = {slot("n", x, PATH) for x in (tag, *names_of(m[3]))}
+            own_names = {slot(ON_PATH, x, PATH) for x in (tag, *names_of(m[3]))}
             at = Element(tag, at, at.names | own_names if not own_names <= at.names else at.names, at.linked or tag == "a")
             open_tags[tag] = open_tags.get(tag, 0) + 1
     add(page[place:])
@@ -138,11 +140,11 @@ def features(found: list[Block]) -> np.ndarray:
         own = at
         while own.tag in INLINE and own.up is not None:
             own = own.up
-        row[PATH + slot("l", own.tag, LAST // 2)] = 1
-        row[PATH + LAST // 2 + slot("u", own.up.tag if own.up else "", LAST // 2)] = 1
+        row[PATH + slot(OF_TAG, own.tag, LAST // 2)] = 1
+        row[PATH + LAST // 2 + slot(OF_PARENT, own.up.tag if own.up else "", LAST // 2)] = 1
         words = WORD.findall(text.lower())
         for w in words[:64]:
-            row[PATH + LAST + slot("w", w, WORDS)] += 1
+            row[PATH + LAST + slot(OF_WORD, w, WORDS)] += 1
         if words:
             row[PATH + LAST : PATH + LAST + WORDS] /= min(len(words), 64)
         base = PATH + LAST + WORDS

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from quarry.llm.blocks import LAST, PATH, SIZE, WORDS, Block, blocks, features
 from quarry.llm.common import map_columns
 
-HIDDEN, PAGES, STEPS, BATCH, RATE, SEED = 16, 1500, 500, 32, 0.01, 11
-#: Share of training pages whose words are hidden, so that paths must do; weight decay a step.
-BLIND, DECAY = 0.5, 2e-3
+HIDDEN, PAGES, STEPS, BATCH, RATE, SEED = 16, 2000, 600, 32, 0.01, 11
+#: Shares of training pages whose words, and whose texts altogether, are hidden, so that paths must do; weight decay a step.
+WORDLESS, TEXTLESS, DECAY = 0.3, 0.5, 1e-3
 #: Blocks of several pages that are labelled at once, padding included.
 AT_ONCE = 1 << 16
 
@@ -95,27 +95,28 @@ class Layout:
         if kind == "comments":
             a, b = self.named(r.choice(("div", "section", "ol", "ul")), self.COMMENT, True)
             item = "li" if a[1] in "ou" else r.choice(("div", "article", "p"))
-            one = lambda: (f"<{item}>" if item == "p" else self.named(item, self.COMMENT)[0]) + (f"{self.prose()}" if item == "p" else f"<span>{self.words(1, 2)}</span><p>{self.prose()}</p>") + f"</{item}>"
+            one = lambda: (f"<{item}>" if item == "p" else self.named(item, self.COMMENT, item == "article")[0]) + (f"{self.prose()}" if item == "p" else f"<span>{self.words(1, 2)}</span><p>{self.prose()}</p>") + f"</{item}>"
             return a + f"<h3>{self.words(1, 2)}</h3>" * (r.random() < 0.6 and a[1] not in "ou") + "".join(one() for _ in range(r.randint(1, 6))) + b
         a, b = ("<footer>", "</footer>") if r.random() < 0.6 else self.named("div", self.FOOT, True)
         return a + r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentence()}", f"<p>&copy; {self.sentence()}</p>", self.links(r.randint(2, 5)) + f"<p>{self.sentence()}</p>")) + b
 
     def article(self) -> list[tuple[str, bool]]:
         r = self.r
-        out = [(f"<h1>{self.words(2, 10).capitalize()}</h1>", True)] if r.random() < 0.85 else []
-        for _ in range(r.choice((1, 1, 2, 3, 5, 9, 14, 25, 40))):
+        head = r.choice(("h1", "h1", "h1", "h2"))
+        out = [(f"<{head}>{self.words(2, 10).capitalize()}</{head}>", True)] if r.random() < 0.7 else []
+        for _ in range(r.choice((1, 1, 1, 2, 2, 3, 5, 9, 14, 25, 40))):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.68:
                 out.append((f"<p>{self.prose()}" + ("<br>" if r.random() < 0.1 else "</p>"), True))
-            elif kind < 0.8:
+            elif kind < 0.75:
                 out.append((f"<h{(k := r.randint(2, 4))}>{self.words(1, 6).capitalize()}</h{k}>", True))
-            elif kind < 0.87:
+            elif kind < 0.81:
                 out.append(("<ul>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(1, 5))) + "</ul>", True))
-            elif kind < 0.9:
+            elif kind < 0.84:
                 out.append((f"<blockquote><p>{self.prose()}</p></blockquote>", True))
-            elif kind < 0.93:
+            elif kind < 0.86:
                 out.append((f"<table><tr><th>{self.words(1, 2)}</th><td>{self.words(1, 4)}</td></tr></table>", True))
-            elif kind < 0.95:
+            elif kind < 0.88:
                 out.append((f"<div>{self.prose()}</div>", True))
             else:
                 out.append((self.boilerplate(r.choice(("ad", "notice", "side", "form"))), False))
@@ -145,9 +146,10 @@ def labelled(seed: int) -> tuple[list[Block], np.ndarray]:
     return [b._replace(text=b.text.replace(MARK, "") or "x", linked=min(b.linked, max(1, len(b.text.replace(MARK, ""))))) for b in found], truth
 
 
-#: A feature vector without its words.
-SEEN = np.ones(SIZE, np.float32)
-SEEN[PATH + LAST : PATH + LAST + WORDS] = 0
+#: What is left of a feature vector without its words, and without its text.
+WORDLESS_VIEW, PATHS = np.ones(SIZE, np.float32), np.ones(SIZE, np.float32)
+WORDLESS_VIEW[PATH + LAST : PATH + LAST + WORDS] = 0
+PATHS[PATH + LAST :] = 0
 MARK = ""
 
 
@@ -232,7 +234,8 @@ def trained(steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     for step in range(1, steps + 1):
         some = [pool[k] for k in r.integers(0, len(pool), BATCH)]
-        x, turned, back = padded([f if r.random() > BLIND else f * SEEN for f, _ in some])
+        shown = r.random(len(some))
+        x, turned, back = padded([f * (PATHS if s < TEXTLESS else WORDLESS_VIEW if s < TEXTLESS + WORDLESS else 1) for (f, _), s in zip(some, shown, strict=True)])
         page = np.arange(len(some))
         mask, y = np.zeros(x.shape[:2], np.float32), np.zeros(x.shape[:2], np.float32)
         for k, (_, labels) in enumerate(some):
