@@ -19,10 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parse_schema(spark: SparkSession, ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
     """Run a Python operator over Arrow batches, ``rows`` rows at a time.
 

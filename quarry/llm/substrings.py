@@ -16,7 +16,6 @@ result each; other columns of the input are ignored (``repeats``) or kept as the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
