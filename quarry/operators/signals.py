@@ -6,8 +6,6 @@ union. Channels become columns by one grouped aggregation, so any number of them
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +116,6 @@ def selected(rows: DataFrame, rank: str, limit: int) -> DataFrame:
     return rows.withColumn("selected", turn <= limit)
 
 
-@dataclass(frozen=True)
-class Model:
-    name: str
-    checkpoint: str
-    parameters: int
-
-
 def budget(models: DataFrame, most: int = 4_000_000_000) -> DataFrame:
     """One row: parameters of distinct checkpoints, the limit, and whether it holds. ``models``: name, checkpoint, parameters."""
     total = models.dropDuplicates(["checkpoint"]).agg(F.coalesce(F.sum("parameters"), F.lit(0)).alias("parameters"))
