@@ -37,7 +37,7 @@ def test_pipeline_against_loops(spark, sf):
         changed = False
         for a in ids:
             for b in ids:
-                if (prints[a] ^ prints[b]).bit_count() <= 2 and root[a] != root[b]:
+                if (prints[a] ^ prints[b]).bit_count() <= corpus_pipeline.REACH and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
     kept = [(i, t) for i, t in kept if root[i] == i]
