@@ -18,9 +18,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
-#: Differing bits up to which fingerprints link here. Near copies lie further apart than the two bits of the query
-#: op10; nearly all links within four bits are of texts that share four fifths of their five-word shingles.
-REACH = 4
+#: Differing bits up to which fingerprints link here: those of the query op10. Wider radii find more near copies, but
+#: triangle bounds then send each fingerprint to so many shards that the rows grow much faster than the input.
+REACH = simhash.MAX_BITS
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
