@@ -230,10 +230,11 @@ def trained(steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     """The network, by Adam on generated pages; the same each time, made once a process."""
     p = start(seed)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    pool = [(features(b), y) for b, y in (labelled(seed * 100_003 + k) for k in range(PAGES)) if b]
+    pool = sorted(((features(b), y) for b, y in (labelled(seed * 100_003 + k) for k in range(PAGES)) if b), key=lambda x: len(x[1]))
     r = np.random.default_rng(seed)
     for step in range(1, steps + 1):
-        some = [pool[k] for k in r.integers(0, len(pool), BATCH)]
+        at = int(r.integers(0, len(pool) - BATCH))  # pages of like length, so that little is padding
+        some = pool[at : at + BATCH]
         shown = r.random(len(some))
         x, turned, back = padded([f * (PATHS if s < TEXTLESS else WORDLESS_VIEW if s < TEXTLESS + WORDLESS else 1) for (f, _), s in zip(some, shown, strict=True)])
         page = np.arange(len(some))
