@@ -63,21 +63,38 @@ def hard_negatives(hits: DataFrame, gold: DataFrame, n: int = HARD, top: int = T
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def random_negatives(queries: DataFrame, contexts: DataFrame, gold: DataFrame, n: int = RANDOM, seed: int = SEED, pool: int = 1000) -> DataFrame:
-    """(query_id, context_id): n contexts of each query that aren't gold.
+def placed(contexts: DataFrame, seed: int) -> DataFrame:
+    """(context_id, place): every context once, numbered from 0 in the order of a hash.
 
-    The contexts, in the order of a hash, are a circle of ``pool`` drawn ones; a query starts at its own place in
-    it. Drawing costs n plus its gold contexts for each query, not a product with the corpus.
+    The first two hex digits of the hash cut the circle into 256 arcs; each arc is numbered by itself, in as many
+    tasks, after the contexts of the arcs before it.
     """
-    circle = contexts.select("context_id").distinct().orderBy(draw(seed, F.col("context_id")), "context_id").limit(pool)
-    placed = circle.withColumn("place", F.row_number().over(Window.orderBy(draw(seed, F.col("context_id")), "context_id")) - 1)  # ``pool`` rows
-    size = placed.count()
-    golds = gold.groupBy("query_id").agg(F.count("*").alias("g"))
+    once = contexts.select("context_id").where("context_id is not null").distinct().withColumn("drawn", draw(seed, F.col("context_id")))
+    once = once.withColumn("arc", F.substring("drawn", 1, 2))
+    # at most 256 rows
+    before = once.groupBy("arc").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("arc")) - F.col("n"))
+    turn = F.row_number().over(Window.partitionBy("arc").orderBy("drawn", "context_id"))
+    return once.withColumn("turn", turn).join(F.broadcast(before), "arc").select("context_id", (F.col("before") + F.col("turn") - 1).alias("place"))
+
+
+def random_negatives(queries: DataFrame, contexts: DataFrame, gold: DataFrame, n: int = RANDOM, seed: int = SEED) -> DataFrame:
+    """(query_id, context_id, turn): n contexts of each query that aren't gold.
+
+    All contexts, in the order of a hash, are a circle; a query starts at its own place in it and walks on past its
+    gold contexts. Drawing costs n plus its gold contexts for each query, not a product with the corpus. A query with
+    fewer than n contexts that aren't gold raises.
+    """
+    circle = placed(contexts, seed)
+    size = circle.count()
+    own = gold.select("query_id", "context_id").distinct()
+    golds = own.join(circle.select("context_id"), "context_id").groupBy("query_id").agg(F.count("*").alias("g"))
     start = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(max(1, size)))
-    want = queries.select("query_id").distinct().join(golds, "query_id", "left")
-    steps = want.select("query_id", start.alias("start"), F.explode(F.sequence(F.lit(0), F.least(F.lit(max(0, size - 1)), n - 1 + F.coalesce("g", F.lit(0)).cast("int")))).alias("step"))
-    drawn = steps.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.lit(max(1, size)))).join(F.broadcast(placed), "place")
-    free = drawn.join(gold.select("query_id", "context_id"), ["query_id", "context_id"], "left_anti")
+    want = queries.select("query_id").distinct().join(golds, "query_id", "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    few = F.concat(F.lit(f"pool too small: need {n} of {size}, query "), F.col("query_id").cast("string"), F.lit(" has gold contexts: "), F.col("g").cast("string"))
+    last = F.when(F.col("g") + n > size, F.raise_error(few).cast("long")).otherwise(F.col("g") + n - 1)
+    steps = want.select("query_id", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
+    drawn = steps.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.lit(max(1, size)))).join(circle, "place")
+    free = drawn.join(own, ["query_id", "context_id"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("step"))
     return free.withColumn("turn", turn).where(F.col("turn") <= n).select("query_id", "context_id", "turn")
 
