@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, pii, simhash, toxicity
+from quarry.llm import bpe, decontaminate, near, pii, simhash, toxicity
 from quarry.llm.common import table
 from quarry.llm.registry import tokenizer_text
 
@@ -18,14 +18,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
-#: Differing bits up to which fingerprints link here: those of the query op10. Wider radii find more near copies, but
-#: triangle bounds then send each fingerprint to so many shards that the rows grow much faster than the input.
+#: Differing bits up to which fingerprints link here: those of the query op10. Copies further apart are found by their shingles.
 REACH = simhash.MAX_BITS
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
-    return simhash.keep_one(docs, reach=REACH)
+    """Of each group linked by fingerprints or by a similarity of 0.8 on five-word shingles the smallest doc_id stays."""
+    return near.keep_one(docs, reach=REACH)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
