@@ -39,6 +39,9 @@ DOCUMENT_TYPES = (
 CONTENTS = ("MỤC LỤC", "TABLE OF CONTENTS")
 REFERENCES = ("THƯ MỤC TÀI LIỆU THAM KHẢO", "TÀI LIỆU THAM KHẢO")
 PREAMBLES = ("Căn cứ ", "Theo đề nghị ", "Xét đề nghị ", "QUYẾT NGHỊ", "QUYẾT ĐỊNH:")
+# What ends a standard's Vietnamese title, and what a heading in capitals holds if it is one.
+ENGLISH_MARKERS = (" Conformity assessment", " Requirements for", " Specification for", " Test methods")
+TITLE_MARKERS = ("YÊU CẦU", "QUY ĐỊNH", "HƯỚNG DẪN", "ĐÁNH GIÁ", "AN TOÀN")
 
 # Tags of structured chunks, by field.
 TITLE_TAGS = ("VĂN BẢN", "TIÊU ĐỀ CHÍNH THỨC", "TIÊU ĐỀ SINH", "TIÊU ĐỀ GỢI Ý")
