@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that a Python operator holds as Python objects at one time.
-ROWS_AT_ONCE = 256
+#: Rows, and bytes of their texts, that a Python operator holds as Python objects at one time; one row at least.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def portions(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+    """(begin, number) of consecutive rows that may be held together."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    after, at = np.cumsum(size), 0
+    while at < len(size):
+        n = int(np.searchsorted(after, (after[at - 1] if at else 0) + BYTES_AT_ONCE, "right")) - at
+        n = max(1, min(rows, n))
+        yield at, n
+        at += n
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
-    """Run a Python operator over Arrow batches, ``rows`` rows at a time.
+    """Run a Python operator over Arrow batches, ``rows`` rows at a time, fewer where they are long.
 
     ``make()`` is called once per task and returns a function from the input columns, as lists, to the
     output columns, as lists. Rows stay in their partition: no shuffle, and a lost task is simply run again.
@@ -30,8 +46,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                found = work(*(c.to_pylist() for c in batch.slice(at, rows).columns))
+            for at, n in portions(batch, rows):
+                found = work(*(c.to_pylist() for c in batch.slice(at, n).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], schema=schema)
 
     return df.mapInArrow(run, ddl)

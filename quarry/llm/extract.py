@@ -25,8 +25,8 @@ from quarry.llm.common import map_columns
 HIDDEN, PAGES, STEPS, BATCH, RATE, SEED = 16, 2000, 600, 32, 0.01, 11
 #: Shares of training pages whose words, and whose texts altogether, are hidden, so that paths must do; weight decay a step.
 WORDLESS, TEXTLESS, DECAY = 0.3, 0.5, 1e-3
-#: Blocks of several pages that are labelled at once, padding included.
-AT_ONCE = 1 << 16
+#: Blocks of several pages that are labelled at once, padding included; a longer page is labelled alone, in pieces.
+AT_ONCE, PIECE = 1 << 15, 4096
 
 
 class Layout:
@@ -186,7 +186,8 @@ def forward(x: np.ndarray, p: dict[str, np.ndarray], side: str, keep: bool = Fal
     out, kept = np.empty((steps, n, HIDDEN), np.float32), []
     for t in range(steps):
         g = z[t] + h @ p[f"h{side}"]
-        i, f, o = (sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in (0, 1, 2))
+        gates = sigmoid(g[:, : 3 * HIDDEN])
+        i, f, o = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in (0, 1, 2))
         u = np.tanh(g[:, 3 * HIDDEN :])
         before = c
         c = f * c + i * u
@@ -258,26 +259,69 @@ def trained(steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     return p
 
 
-def label(pages: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """The probability of article for each block of each page."""
+def projected(found: list[Block], p: dict[str, np.ndarray], sides: str, first: int = 0, last: int | None = None) -> np.ndarray:
+    """What the gates of the directions get from the blocks' vectors: (block, gate of each side)."""
+    last = len(found) if last is None else last
+    weights, offsets = np.concatenate([p[f"x{s}"] for s in sides], axis=1), np.concatenate([p[f"c{s}"] for s in sides])
+    return np.concatenate([features(found, at, min(at + PIECE, last)) @ weights + offsets for at in range(first, last, PIECE)])
+
+
+def run(z: np.ndarray, state: tuple[np.ndarray, np.ndarray], p: dict[str, np.ndarray], side: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """What the states of one direction add to the label, over (time, page, gate), and the last state."""
+    h, c = state
+    w = p["w"][:HIDDEN] if side == "f" else p["w"][HIDDEN:]
+    out, kept = np.empty(z.shape[:2], np.float32), p[f"h{side}"]
+    for t in range(len(z)):
+        g = z[t] + h @ kept
+        gates = sigmoid(g[:, : 3 * HIDDEN])
+        c = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(g[:, 3 * HIDDEN :])
+        h = gates[:, 2 * HIDDEN :] * np.tanh(c)
+        out[t] = h @ w
+    return out, (h, c)
+
+
+def rest(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+
+
+def label_long(found: list[Block], p: dict[str, np.ndarray]) -> np.ndarray:
+    """The same for one page in pieces, so that only its blocks are held whole."""
+    out, n = np.zeros(len(found), np.float32), len(found)
+    for side in "fb":
+        state = rest(1)
+        for at in range(0, n, PIECE):
+            low, high = (at, min(at + PIECE, n)) if side == "f" else (max(0, n - at - PIECE), n - at)
+            z = projected(found, p, side, low, high)[:: 1 if side == "f" else -1, None]
+            added, state = run(z, state, p, side)
+            out[low:high] += added[:: 1 if side == "f" else -1, 0]
+    return sigmoid(out + p["o"])
+
+
+def label(pages: list[list[Block]], p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The probability of article for each block of each page; pages of like length run abreast."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
-    order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+    while order and len(pages[order[-1]]) > AT_ONCE:
+        out[order[-1]] = label_long(pages[order[-1]], p)
+        order.pop()
     while order:
         longest = len(pages[order[-1]])
         some = order[-max(1, AT_ONCE // longest) :]
         del order[-len(some) :]
-        x, turned, back = padded([pages[k] for k in some])
-        hf, hb = forward(x, p, "f")[0], forward(turned, p, "b")[0]
-        found = sigmoid(np.concatenate([hf, hb[back, np.arange(len(some))]], axis=2) @ p["w"] + p["o"])
+        z = {side: np.zeros((longest, len(some), 4 * HIDDEN), np.float32) for side in "fb"}
+        for column, k in enumerate(some):
+            own = projected(pages[k], p, "fb")
+            z["f"][: len(own), column], z["b"][: len(own), column] = own[:, : 4 * HIDDEN], own[::-1, 4 * HIDDEN :]
+        forth, back = (run(z[side], rest(len(some)), p, side)[0] for side in "fb")
         for column, k in enumerate(some):
-            out[k] = found[: len(pages[k]), column]
+            n = len(pages[k])
+            out[k] = sigmoid(forth[:n, column] + back[:n, column][::-1] + p["o"])
     return out
 
 
 def main_texts(pages: list[str | None], p: dict[str, np.ndarray]) -> list[str]:
     found = [blocks(page) for page in pages]
-    marks = label([features(b) for b in found], p)
-    return [" ".join(b.text for b, s in zip(own, score, strict=True) if s >= 0.5) for own, score in zip(found, marks, strict=True)]
+    return [" ".join(b.text for b, s in zip(own, score, strict=True) if s >= 0.5) for own, score in zip(found, label(found, p), strict=True)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -66,10 +66,37 @@ def test_pii_rows(spark):
 def test_blocks_of_broken_markup():
     page = "<p><b>a &amp b<br><p>c<script>x</script><ul><li>d<li>e</ul><!-- n -->f <i>g</i>h"
     assert [b.text for b in blocks.blocks(page)] == ["a & b", "c", "d", "e", "f gh"]
-    assert blocks.blocks(None) == [] and blocks.blocks("<<<") == [blocks.Block(blocks.Element("", None, frozenset(), False), "<<<", 0)]
+    assert blocks.blocks(None) == [] and [b.text for b in blocks.blocks("<<<")] == ["<<<"]
     assert len(blocks.blocks("<div>" * 20_000 + "x")) == 1
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p title=don't>first</p><p>second isn't lost</p><p>third</p>", ["first", "second isn't lost", "third"]),
+    ("<p title='a > b' x=\"c > d\" y=e\"f>one</p>", ["one"]), ("<p x = ' > '>one<p x=>two<p =>three<br x='/>four", ["one", "two", "three four"]),
+    ("<p title=\"never closed>one</p><p>two</p>", ["one", "two"]), ("a <!-- b", ["a"]), ("a<!-->b<!-- > -->c", ["abc"]), ("a < b <c", ["a < b <c"]), ("1<2 and <i>3", ["1<2 and 3"]),
+    ("<script>if (a<b) x=\"</p>\"</SCRIPT >one<style>p{}", ["one"]), ("<a x=\">\" <p>one", ["one"]),
+])
+def test_tags_end_as_browsers_end_them(page, texts):
+    assert [b.text for b in blocks.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x='", '<a x=">" ', "<!", "<", "<script", "<p x=", "</", "<a '"])
+def test_broken_markup_takes_linear_time(piece):
+    blocks.blocks(piece * 300_000)
+    blocks.blocks(piece * 300_000 + ">")
+
+
+def test_all_words_of_a_block_count_and_long_pages_are_labelled_in_pieces(network, monkeypatch):
+    few, many = (blocks.features(blocks.blocks(f"<p>{'x ' * 64}{'y ' * n}</p>"))[0] for n in (0, 400))
+    assert (few != many)[blocks.PATH + blocks.LAST : blocks.PATH + blocks.LAST + blocks.WORDS].any()
+    pages = [extract.labelled(88_000_000 + k)[0] for k in range(20)]
+    want = extract.label(pages, network)
+    monkeypatch.setattr(extract, "PIECE", 7)
+    for page, marks in zip(pages, want):
+        if page:
+            np.testing.assert_allclose(extract.label_long(page, network), marks, atol=1e-4)
+
+
 @pytest.fixture(scope="module")
 def network():
     return extract.trained()
@@ -77,7 +104,7 @@ def network():
 
 def test_labeller_on_pages_that_it_has_not_seen(network):
     pages = [p for p in (extract.labelled(77_000_000 + k) for k in range(150)) if p[0]]
-    marks = extract.label([blocks.features(b) for b, _ in pages], network)
+    marks = extract.label([b for b, _ in pages], network)
     right = np.concatenate([(m >= 0.5) == (y > 0.5) for m, (_, y) in zip(marks, pages)])
     assert right.mean() > 0.99
 
