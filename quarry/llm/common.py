@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -53,6 +55,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: str
     return df.mapInArrow(run, ddl)
 
 
+_setting = threading.RLock()  # two queries of one session don't meet in the setting below
 #: Has Spark remove a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -60,16 +63,42 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) is one made here. The shuffle files that led to the copy are removed at once: the copy stands
-    in for them, and until the driver collects its garbage they would fill the executors' disks.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a folder of this machine does only if
+    the session runs on this machine alone, as in tests; on a cluster it is an error. The shuffle files that led to
+    the copy are removed at once: the copy stands in for them, and until the driver collects its garbage they would
+    fill the executors' disks. The copy goes when nothing refers to it, if the session is told to clean checkpoints.
     """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under that setting
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
+    with _setting:
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            plan = df.select("*")  # takes the setting along
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return plan.checkpoint(eager=True)
+
+
+def sampled(df: DataFrame, total: int, most: int, *cols: str) -> DataFrame:
+    """At most ``most`` of ``total`` rows, in the order of a hash of columns; few more than that leave their tasks."""
+    key = F.xxhash64(*cols)
+    if total > 4 * most:
+        df = df.where(key < int(2**64 * (4 * most / total)) - 2**63)
+    return df.orderBy(key, *cols).limit(most)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

@@ -369,6 +369,35 @@ def test_neighbours_against_brute_force(spark):
     assert 2150 not in got and ann.digest(df.limit(0)).count() == 0
 
 
+def neighbours_by_loops(vectors, k=5):
+    out = []
+    for q, v in vectors:
+        if q is not None and q % 50 == 0:
+            v = np.array(v)
+            scored = sorted((-round(float(v @ w / np.sqrt(v @ v) / np.sqrt(w @ w)), 11), i) for i, w in ((i, np.array(w)) for i, w in vectors) if i is not None and i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 16])
+def test_repeated_query_ids_and_equal_vectors(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(ann, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(ann, "REGION_ROWS", 8)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 100)
+    r = np.random.default_rng(12)
+    vectors = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 3)))]
+    one, other = [3.0, 1.0, 2.0], [1.0, 1.0, 0.5]
+    vectors += [(50, one)] * 7 + [(60, one)] + [(100, other), (100, one), (61, other), (61, other)] + [(7000, one)] * 3
+    got = ann.digest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], round(x["score"], 11)) for x in got) == neighbours_by_loops(vectors)
+
+
+def test_large_and_small_components(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 0.0]), (2, [1e308, -1e308]), (3, [-1.0, -1.0])]
+    got = {(x["rank"], x["vec_id"]): x["score"] for x in ann.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {(1, 1): round(0.5**0.5, 9), (2, 2): 0.0, (3, 3): -1.0}
+
+
 def test_relaxed_pruning_keeps_recall():
     r = np.random.default_rng(9)
     own = r.normal(size=(2000, 8))
