@@ -1,12 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Test windows (ten consecutive item words; a shorter item is one window) form a broadcast hash set. Each document
-hashes its windows in place; a hit on the hash is verified word by word inside the join. Windows beyond the
-broadcast's bound are handled in further passes over the documents, each with a set of bounded size.
+Test windows (ten consecutive item words; a shorter item is one window) form a broadcast hash set, and mark a place each
+in a bitmap. Each document hashes its windows in place, from one hash of each word, and only windows whose place is
+marked leave it, with their words; the join with the broadcast set verifies these word by word. So the work on a
+document grows with its length alone. Windows beyond the broadcast's bound are handled in further passes over the
+documents, each with a set of bounded size; the passes give the same rows as one would.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; repeated
 rows each get a row; equal item ids count once, null item ids are hit but not listed; other columns of the input
-are ignored (``scan``) or kept as they are (``remove``).
+are ignored (``scan``) or kept as they are (``remove``), whatever their names.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import checkpoint, spare
+
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows in one broadcast, about 100 bytes each.
-BROADCAST_WINDOWS = 200_000
-#: First words of short items that are tested before windows of their length are hashed.
-FIRST_WORDS = 2_000
+#: Windows in one broadcast, about 100 bytes each; places of the bitmap, as a power of two.
+BROADCAST_WINDOWS, BITMAP = 100_000, 20
 
 
 def lowered(text: Column) -> Column:
@@ -38,37 +40,50 @@ def starts(n: Column, size: int | Column) -> Column:
     return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
 
+def hashed(word: Column) -> Column:
+    return F.transform(word, lambda x: F.xxhash64(x))
+
+
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(key, text, size, first, items): each different window with the items that hold it."""
+    """(text, size, key, first, items): each different window with the items that hold it; ``first`` is a key of its length and first word."""
     item = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     item = item.withColumn("size", F.least(F.lit(size), F.size("w")))
     each = item.select("item", "size", F.explode(F.transform(starts(F.size("w"), F.col("size")), lambda i: F.slice("w", i + 1, F.col("size")))).alias("w"))
-    return each.groupBy("w").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("item")).alias("items")).select(
-        F.xxhash64("w").alias("key"), F.array_join("w", " ").alias("text"), "size", F.col("w")[0].alias("first"), "items"
-    )
+    whole = each.groupBy("w").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("item")).alias("items"))
+    return whole.select(F.array_join("w", " ").alias("text"), "size", F.xxhash64(hashed(F.col("w"))).alias("key"), F.xxhash64(F.xxhash64(F.col("w")[0]), "size").alias("first"), "items")
+
+
+def bitmap(found: DataFrame) -> Column:
+    """A byte for each place that keys can fall on, 1 where one does: a literal of the same size for any number of keys."""
+    places = found.select(F.explode(F.array("key", "first")).alias("k")).select(place(F.col("k")).alias("place")).distinct()
+    out = bytearray(1 << BITMAP)
+    for row in places.collect():  # at most as many as places
+        out[row["place"]] = 1
+    return F.lit(bytes(out))
+
+
+def place(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - BITMAP).cast("int")
 
 
-def hits(docs: DataFrame, found: DataFrame, size: int, firsts: dict[int, list[str] | None]) -> DataFrame:
+def hits(docs: DataFrame, found: DataFrame, size: int, lengths: list[int]) -> DataFrame:
     """(doc_id, print, n, pos, size, items): a row for each verified hit, and one with pos null for each document.
 
-    ``docs``: doc_id, print, w. ``firsts``: for each length under ``size`` that items have, their first words.
+    ``docs``: doc_id, print, w, h. ``lengths``: those under ``size`` that items have.
     """
-    n = F.size("w")
-    hashed = lambda at, k: F.xxhash64(F.slice("w", at + 1, k))
-    keys = F.concat(F.array(F.lit(None).cast("long")), F.transform(starts(n, size), lambda i: hashed(i, size)))
-    rows = docs.select("*", F.posexplode(keys).alias("at", "k")).withColumn("at", F.col("at") - 1).withColumn("len", F.lit(size))
-    if firsts:
+    bits, n = bitmap(found), F.size("h")
+    there = lambda key: F.substring(bits, place(key) + 1, F.lit(1)) == F.lit(b"\x01")
 
-        def of_length(k: int, first: list[str] | None) -> Column:
-            at = starts(n, k) if first is None else F.filter(starts(n, k), lambda i: F.get("w", i).isin(first))
-            return F.transform(at, lambda i: F.struct(i.alias("at"), hashed(i, k).alias("k"), F.lit(k).alias("len")))
+    def of_length(k: int) -> Column:
+        whole = lambda i: there(F.xxhash64(F.slice("h", i + 1, k)))
+        at = F.filter(starts(n, k), whole if k == size else lambda i: F.when(there(F.xxhash64(F.get("h", i), F.lit(k))), whole(i)).otherwise(False))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.array_join(F.slice("w", i + 1, k), " ").alias("words")))
 
-        short = F.flatten(F.array(*(of_length(k, first) for k, first in sorted(firsts.items()))))
-        rows = rows.unionByName(docs.select("*", F.inline(short)))
-    there = F.broadcast(found.select("key", "text", "size", "items"))
-    same = (F.col("k") == F.col("key")) & (F.col("len") == F.col("size")) & (F.array_join(F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len")), " ") == F.col("text"))
-    joined = rows.join(there, same, "left").where("at = -1 or key is not null")
-    return joined.select("doc_id", "print", n.alias("n"), F.when(F.col("at") >= 0, F.col("at")).alias("pos"), "size", "items")
+    itself = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("words")))
+    possible = docs.select("doc_id", "print", n.alias("n"), F.flatten(F.array(itself, *(of_length(k) for k in (*lengths, size)))).alias("possible"))
+    rows = possible.select("doc_id", "print", "n", F.inline_outer("possible"))  # outer: or a filter on its size, made of the whole expression, would come before
+    joined = rows.join(F.broadcast(found.select("text", "size", "items")), (F.col("words") == F.col("text")) & (F.col("len") == F.col("size")), "left")
+    return joined.where("pos is null or text is not null").select("doc_id", "print", "n", "pos", "size", "items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -76,19 +91,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
 
     ``print`` is a hash of the text, so that rows that share an id stay apart.
     """
-    found = windows(benchmark, size)
-    short = found.where(F.col("size") < size)
-    lengths = [r[0] for r in short.select("size").distinct().collect()]  # under ``size`` values
-    firsts: dict[int, list[str] | None] = {}
-    for k in lengths:
-        first = [r[0] for r in short.where(F.col("size") == k).select("first").distinct().limit(FIRST_WORDS + 1).collect()]
-        firsts[k] = first if len(first) <= FIRST_WORDS else None
+    found = checkpoint(windows(benchmark, size))
+    lengths = sorted(r[0] for r in found.where(F.col("size") < size).select("size").distinct().collect())  # under ``size`` values
     refs = found.agg(F.sum(F.size("items") + 1)).first()[0] or 0
     passes = max(1, -(-refs // most))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), words(F.col("text")).alias("w"))
+    base = base.withColumn("h", hashed(F.col("w")))
     rows = None
     for k in range(passes):
-        part = hits(base, found.where(F.pmod("key", F.lit(passes)) == k) if passes > 1 else found, size, firsts)
+        part = hits(base, found.where(F.pmod("key", F.lit(passes)) == k) if passes > 1 else found, size, lengths)
         part = part if not k else part.where("pos is not null")
         rows = part if rows is None else rows.unionByName(part)
     by_doc = rows.groupBy("doc_id", "print").agg(
@@ -119,30 +130,32 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, size: int
 
     A removed word takes the separators after it along. ``n_chars``, if there is one, is brought up to date.
     """
-    bad = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__print"])
-    rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__p": F.xxhash64("text")})
-    same = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__p") == F.col("__print"))
+    i, p, own, at, gone, cut = spare(docs, "i", "p", "own", "at", "gone", "cut")
+    bad = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias(own), F.col("print").alias(at), F.col("hits").alias(gone)).dropDuplicates([own, at])
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), p: F.xxhash64("text")})
+    same = F.col(i).eqNullSafe(F.col(own)) & (F.col(p) == F.col(at))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if not spans:
-        return rows.join(bad, same, "left_anti").select(*docs.columns)
+        return rows.join(bad, same, "left_anti").select(*columns)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     between = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all("text", F.lit(f"({word}{between})"), 1)
     lead = F.regexp_extract("text", f"^{between}", 0)
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("kept"))
     kept = F.aggregate(
-        F.concat("__hits", F.array(F.struct(F.size("__pieces").alias("pos"), F.size("__pieces").alias("end")))),
+        F.concat(gone, F.array(F.struct(F.size(cut).alias("pos"), F.size(cut).alias("end")))),
         start,
         lambda acc, h: F.struct(
             F.greatest(acc["end"], h["end"]).alias("end"),
-            F.when(h["pos"] > acc["end"], F.concat(acc["kept"], F.slice("__pieces", acc["end"] + 1, h["pos"] - acc["end"]))).otherwise(acc["kept"]).alias("kept"),
+            F.when(h["pos"] > acc["end"], F.concat(acc["kept"], F.slice(cut, acc["end"] + 1, h["pos"] - acc["end"]))).otherwise(acc["kept"]).alias("kept"),
         ),
         lambda acc: acc["kept"],
     )
-    joined = rows.join(bad, same, "left").withColumn("__pieces", F.when(F.col("__hits").isNotNull(), pieces))
-    out = joined.withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, ""))))
+    joined = rows.join(bad, same, "left").withColumn(cut, F.when(F.col(gone).isNotNull(), pieces))
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, ""))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hits").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*columns)
 
 
 SQL = r"""

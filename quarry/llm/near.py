@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
-from quarry.llm.common import checkpoint, map_columns
+from quarry.llm.common import checkpoint, map_columns, spare
 from quarry.llm.graph import components
 
 #: Words of a shingle; the similarity from which texts are copies, as a fraction.
@@ -160,7 +160,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = simhash.MAX_BITS) -> DataFrame:
     """The input's rows and columns with one row of each group; rows with a null id can't be named as copies and stay."""
-    rows = df.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(text_col)})
-    first = representatives(df, id_col, text_col, reach).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    kept = rows.where("__id is not null").join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
-    return kept.unionByName(rows.where("__id is null")).drop("__id", "__hash")
+    own, at = spare(df, "own", "at")
+    rows = df.withColumns({own: F.col(id_col).cast("long"), at: F.xxhash64(text_col)})
+    first = representatives(df, id_col, text_col, reach).select(F.col("id").alias(own), F.col("text_hash").alias(at))
+    kept = rows.where(F.col(own).isNotNull()).join(first, [own, at], "left_semi").dropDuplicates([own, at])
+    return kept.unionByName(rows.where(F.col(own).isNull())).drop(own, at)

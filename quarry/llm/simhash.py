@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, map_columns
+from quarry.llm.common import checkpoint, map_columns, sampled, spare
 from quarry.llm.graph import components
 
 SHINGLE, MAX_BITS = 3, 2
@@ -195,10 +195,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
     Rows with a null id can't be named as copies and stay.
     """
-    rows = df.withColumn("__id", F.col(id_col).cast("long"))
-    first = near_duplicates(df, id_col, text_col, reach, shingle).where("id = component").select(F.col("id").alias("__id")).distinct()
-    kept = rows.where("__id is not null").join(first, "__id", "left_semi").dropDuplicates(["__id"])
-    return kept.unionByName(rows.where("__id is null")).drop("__id")
+    own, at = spare(df, "own", "at")
+    rows = df.withColumns({own: F.col(id_col).cast("long"), at: F.xxhash64(text_col)})
+    marks = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("print"))
+    named = near_duplicates(df, id_col, text_col, reach, shingle).where("id = component").select("id").distinct()
+    first = marks.join(named, "id", "left_semi").groupBy("id").agg(F.min("print").alias("print")).select(F.col("id").alias(own), F.col("print").alias(at))
+    kept = rows.where(F.col(own).isNotNull()).join(first, [own, at], "left_semi").dropDuplicates([own, at])
+    return kept.unionByName(rows.where(F.col(own).isNull())).drop(own, at)
 
 
 def digest(df: DataFrame) -> DataFrame:
