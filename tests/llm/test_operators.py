@@ -453,13 +453,30 @@ def test_fingerprints():
     assert simhash.fingerprint("A b") & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b", 42)
 
 
-def test_components_against_loops(spark, monkeypatch):
+def plain_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aAbÉé İ\t\n\x0b\x1c\x85\xa0漢🙂", max_size=60) | st.lists(st.sampled_from(["one", "Two", "three"]), max_size=40).map(" ".join))
+def test_fingerprints_against_plain_code(text):
+    assert simhash.fingerprint(text) & (2**64 - 1) == plain_fingerprint(text)
+
+
+@pytest.mark.parametrize("bucket_rows", [10, 10_000])
+def test_components_against_loops(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(simhash, "LEAF", 4)
     r = np.random.default_rng(10)
-    prints = r.integers(-(2**62), 2**62, 60).tolist()
+    prints = r.integers(-(2**62), 2**62, 60).tolist() + [0, -1, 3, -(2**63)]
     prints += [p ^ (1 << int(r.integers(60))) ^ (1 << int(r.integers(60))) for p in prints for _ in range(3)]
+    prints += [1 << a | 1 << b | 1 << c for a, b, c in itertools.combinations(range(20, 28), 3)]  # buckets that are parted again
     classes = spark.createDataFrame([(p, k) for k, p in enumerate(dict.fromkeys(prints))], "print long, rep long").cache()
-    found = graph.components(simhash.links(classes, 2, shard_rows=16, sample_rows=64)).collect()
+    found = graph.components(simhash.links(classes, 2, shard_rows=16, bucket_rows=bucket_rows)).collect()
     p = [(row["print"], row["rep"]) for row in classes.collect()]
     root = {rep: rep for _, rep in p}
     changed = True
