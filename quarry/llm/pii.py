@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Kinds of the base set: ``email``, ``ip``, ``card`` (Luhn) and ``phone``; added by the method: ``iban``
-(mod 97). Every text is searched whole.
+Kinds of the base set: ``email``, ``ip``, ``card`` (Luhn) and ``phone``; added by the method, if their score
+reaches ``LEAST``: ``iban`` and ``nir`` (mod 97) and ``dni`` (a letter mod 23). An IBAN is found unless words near
+it speak against it; numbers of the other two kinds come up by chance, so that words near them must speak for them.
+Every text is searched whole.
 
 Defined results: a null text counts as empty and has no spans; an empty text has none; repeated rows each
 get their own result; extra columns of the input are ignored (``find``) or kept as they are (``redact``).
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_columns
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban")
+ADDED_KINDS = ("iban", "nir", "dni")
+KINDS = (*BASE_KINDS, *ADDED_KINDS)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,14 +31,21 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
+NIR = re.compile(r"(?<![A-Za-z0-9])[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![A-Za-z0-9])")
+DNI = re.compile(r"(?<![A-Za-z0-9])[0-9]{8}-?[A-Z](?![A-Za-z0-9])")
+#: The letter of a number mod 23, in order.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
 #: Score of a confirmed span without context, by kind, and what context words add.
-PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8}
+PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8, "nir": 0.5, "dni": 0.5}
 RAISED_BY = {
     "email": ("mail", "contact", "write", "address"),
     "ip": ("address", "server", "host", "login"),
     "card": ("card", "visa", "credit", "payment", "tarjeta", "karte", "carte"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "nir": ("nir", "insee", "sécurité sociale", "assuré"),
+    "dni": ("dni", "nif", "identidad", "documento"),
 }
 LOWERED_BY = {
     "email": ("example",),
@@ -43,9 +53,13 @@ LOWERED_BY = {
     "card": ("order", "invoice", "serial", "isbn", "tracking"),
     "phone": ("version", "serial"),
     "iban": ("serial", "model"),
+    "nir": ("serial", "tracking"),
+    "dni": ("serial", "tracking"),
 }
 NEAR = 40
 RAISE, LOWER = 0.2, 0.3
+#: The score that a span of an added kind needs.
+LEAST = 0.6
 
 
 class Span(NamedTuple):
@@ -114,7 +128,20 @@ def ibans(text: str):
                 break
 
 
-FINDERS = dict(zip(KINDS, (emails, addresses, cards, phones, ibans), strict=True))
+def nirs(text: str):
+    for m in NIR.finditer(text):
+        digits = m[0].replace(" ", "")
+        if int(digits[:13]) % 97 + int(digits[13:]) == 97:
+            yield m.span()
+
+
+def dnis(text: str):
+    for m in DNI.finditer(text):
+        if DNI_LETTERS[int(m[0][:8]) % 23] == m[0][-1]:
+            yield m.span()
+
+
+FINDERS = dict(zip(KINDS, (emails, addresses, cards, phones, ibans, nirs, dnis), strict=True))
 
 
 def score(text: str, start: int, end: int, kind: str) -> float:
@@ -123,7 +150,7 @@ def score(text: str, start: int, end: int, kind: str) -> float:
     return round(min(1.0, max(0.0, s)), 3)
 
 
-def spans(text: str | None, least: float = 0.0) -> list[Span]:
+def spans(text: str | None, least: float = LEAST) -> list[Span]:
     """Spans of the whole text by start, then kind as listed. ``least`` holds for added kinds only: base spans stay."""
     found = []
     for rank, kind in enumerate(KINDS):
@@ -149,7 +176,7 @@ def redacted(text: str | None) -> str | None:
 SPAN_DDL = "id long, spans array<struct<start:long,end:long,kind:string,score:double>>"
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, spans): every span of every whole text, code-point offsets, end exclusive."""
 
     def make():
@@ -159,7 +186,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
 
 
 def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The input's rows and columns with redacted texts; ``chars_col`` is brought up to date."""
+    """The input's rows and columns with redacted texts (null stays null); ``chars_col`` is brought up to date."""
 
     @F.pandas_udf("string")
     def cover(texts):
@@ -181,5 +208,6 @@ def digest(df: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return find(df).select(
         F.col("id").alias("doc_id"), *(count(k) for k in BASE_KINDS),
-        F.sha2(of(BASE_KINDS), 256).alias("base_sha256"), of(KINDS).alias("spans"), count("iban"),
+        F.sha2(of(BASE_KINDS), 256).alias("base_sha256"), of(KINDS).alias("spans"), *(count(k) for k in ADDED_KINDS),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 3)), ",").alias("scores"),
     )

@@ -8,7 +8,8 @@ length, and the sum statistic of a document's best segments, through a logistic
 rows, is its score.
 
 The model is fitted on ``TRAINING_ROWS`` labelled rows of each class at most (in the order of a hash of their
-id), never on held-out ones, and has ``FEATURES`` features at most; the text is all that a score is made of.
+id), never on held-out ones; the curve on one in ``FOLDS`` of them, which the log-odds don't see, unless a class is
+too rare for that. Every feature that the rows support is used; the text is all that a score is made of.
 
 Defined results: a null text counts as empty; an empty text scores like one without a known word; no labels of
 both classes: every score is the share of label 1 (0 without labels); ids with several labels: the larger one;
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from itertools import islice
 from typing import NamedTuple
 
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, map_columns
+from quarry.llm.common import checkpoint, map_columns, sampled
 
-TRAINING_ROWS, FEATURES = 10_000, 20_000
+TRAINING_ROWS, FOLDS = 10_000, 4
 #: Letters of a word's beginnings.
 STEMS = (4, 5, 6)
+#: Rows of a class that a fold needs to be kept apart.
+FOLD_ROWS = 20
 #: Weight of the prior, in documents; what an unknown word costs; documents that a feature needs.
 PRIOR, DRIFT, SUPPORT = 2.0, -0.25, 3
 #: What a shorter beginning may claim at most, as it counts the same documents.
@@ -179,34 +183,50 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id") -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     picked = None
     for side in (0, 1):
-        some = known.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        some = sampled(known.where(F.col("toxic") == side), sizes.get(side, 0), rows, "doc_id")
         picked = some if picked is None else picked.unionByName(some)
     # at most 2 x rows ids, whatever the size of the tables; copies of a text are no further evidence
     training = docs.select(F.col(id_col).alias("doc_id"), F.col("text")).where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic").dropDuplicates()
-    training = checkpoint(training)
-    sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    training = checkpoint(training.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(4)), F.lit(FOLDS)) == 0))
+    parts = {(r["fold"], r["toxic"]): r["n"] for r in training.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    own_fold = all(parts.get((fold, side), 0) >= FOLD_ROWS for fold in (False, True) for side in (0, 1))
+    learn, curve = (training.where("not fold"), training.where("fold")) if own_fold else (training, training)
+    n_clean, n_toxic = (sum(n for (fold, y), n in parts.items() if y == side and not (own_fold and fold)) for side in (0, 1))
     if not n_toxic or not n_clean:
         return Model({}, 1.0, 0.0, math.log(max(share, 1e-300) / max(1 - share, 1e-300)) if 0 < share < 1 else (700.0 if share else -800.0))
     toxic, clean, part = F.col("toxic"), F.col("clean"), n_toxic / (n_toxic + n_clean)
     term = lambda k, share: F.when(k > 0, k * F.log(k / (toxic + clean) / share)).otherwise(0.0)
-    strong = count_features(training).where((toxic >= SUPPORT) & (toxic / n_toxic > RATIO * clean / n_clean))
+    strong = count_features(learn).where((toxic >= SUPPORT) & (toxic / n_toxic > RATIO * clean / n_clean))
     strong = strong.withColumn("ratio", term(toxic, part) + term(clean, 1 - part)).where(F.col("ratio") > LIKELIHOOD)
-    kept = [(r["feature"], r["toxic"], r["clean"]) for r in strong.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()]
+    kept = [(r["feature"], r["toxic"], r["clean"]) for r in strong.orderBy("feature").collect()]  # of 2 x rows texts at most
     odds = {f: s for f, s in log_odds(kept, n_toxic, n_clean).items() if s > 0}
-    words = training.where("toxic = 0").agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 1
+    words = learn.where("toxic = 0").agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 1
     counts = {f: clean for f, _, clean in kept}
     model = Model(odds, extreme_value_decay(odds, {f: (counts[f] + 0.5) / words for f in odds}) if odds else 1.0, 1.0, 0.0)
-    seen = scan(training.withColumn("id", F.col("toxic").cast("long")), model, "id", "text").select("id", "evidence").collect()
+    seen = scan(curve.withColumn("id", F.col("toxic").cast("long")), model, "id", "text").select("id", "evidence").collect()
     x, y = np.array([r["evidence"] for r in seen]), np.array([r["id"] for r in seen], float)
-    weight = np.where(y == 1, share / n_toxic, (1 - share) / n_clean) * len(y)
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
     slope, offset = logistic(x, y, weight)
     return model._replace(slope=slope, offset=offset)
 
 
+def scorer(model: Model) -> Callable[[str | None], tuple[list[Segment], float, float]]:
+    """A function of a text: its segments, by word, their evidence and the text's score."""
+    known = WordScores(model.odds, model.drift)
+
+    def score(text: str | None) -> tuple[list[Segment], float, float]:
+        words = WORD.findall(text or "")
+        found = segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+        x = model.evidence(found, len(words))
+        return found, x, model.score(x)
+
+    return score
+
+
 SCAN_DDL = "id long, segments array<struct<begin:long,end:long,score:double>>, evidence double, score double"
 
 
@@ -215,21 +235,18 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = shared.value
-        known = WordScores(m.odds, m.drift)
+        score = scorer(shared.value)
 
         def work(ids, texts):
             out = [[], [], []]
             for text in texts:
-                words = WORD.findall(text or "")
-                found = segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+                found, x, y = score(text)
                 spans = []
                 if found:
                     ends = {i for s in found for i in (s.first, s.last)}
                     where = {i: w.span() for i, w in enumerate(islice(WORD.finditer(text), max(ends) + 1)) if i in ends}
                     spans = [{"begin": where[s.first][0], "end": where[s.last][1], "score": s.score} for s in found]
-                x = m.evidence(found, len(words))
-                for column, value in zip(out, (spans, x, m.score(x)), strict=True):
+                for column, value in zip(out, (spans, x, y), strict=True):
                     column.append(value)
             return [ids, *out]
 
@@ -252,13 +269,7 @@ def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
     def clean(texts):
         import pandas as pd
 
-        m = shared.value
-        known = WordScores(m.odds, m.drift)
-        out = []
-        for text in texts:
-            words = WORD.findall(text or "")
-            found = segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-            out.append(m.score(m.evidence(found, len(words))) < 0.5)
-        return pd.Series(out, dtype=bool)
+        score = scorer(shared.value)
+        return pd.Series([score(t)[2] < 0.5 for t in texts], dtype=bool)
 
     return docs.where(clean(text_col))

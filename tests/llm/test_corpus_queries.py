@@ -51,6 +51,25 @@ def test_pipeline_against_loops(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontaminate", "pii", "bpe"]
 
 
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, `at` int, print int, node int"
+    rows = [(1, None), (2, ""), (3, "mail a@b.de now"), (3, "mail a@b.de now"), (None, "no id"), (None, None), (4, "word " * 200_000), (5, "another clean text of a few words")]
+    spark.createDataFrame([(i, t, "en", None, None, 1, 2, 3) for i, t in rows], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split(" ")[0].strip("`") for c in columns.split(", ")]
+        assert {(r["at"], r["print"], r["node"]) for r in docs.collect()} == {(1, 2, 3)}
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()) == sorted([(0, ""), (0, "no id"), (1, ""), (3, "mail [EMAIL] now"), (4, "word " * 200_000), (5, rows[-1][1])])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 0, 1, 3, 4, 5]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
