@@ -1,7 +1,12 @@
 """Documents made ready for training, stage by stage.
 
 Each stage takes the rows that the one before kept and returns them with the columns of ``documents``; the last
-returns the tokens' digests instead. ``run`` applies them in order.
+returns the tokens' digests instead. ``run`` applies them in order and writes what each kept to the shared folder
+once, so that no stage is computed again by the next.
+
+Defined results: a null text counts as empty, which is not toxic, holds no window and no personal data, and equals
+other empty ones; rows with a null id stay (they can't be named as copies); of repeated rows one stays; an empty
+table gives an empty one; further columns, whatever their names, are kept as they are until the last stage.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, decontaminate, near, pii, simhash, toxicity
-from quarry.llm.common import table
+from quarry.llm.common import checkpoint, table
 from quarry.llm.registry import tokenizer_text
 
 
@@ -55,6 +60,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
