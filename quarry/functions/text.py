@@ -37,7 +37,8 @@ def _composed(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    return F.when(text.rlike(COMPOSABLE), _composed(text)).otherwise(text)
+    composable = text.rlike(COMPOSABLE)
+    return F.when(composable, _composed(F.when(composable, text))).otherwise(text)  # Python sees null for all others
 
 
 def squeezed(text: Column) -> Column:
@@ -104,7 +105,8 @@ def _stripped(texts: pd.Series) -> pd.Series:
 
 def strip_html(text: Column) -> Column:
     """Text of a fragment, with line ends at block tags; what scripts and styles hold stays. Texts without a tag or entity skip Python."""
-    return F.when(text.rlike("<[A-Za-z!/]|&"), _stripped(text)).otherwise(text)
+    marked = text.rlike("<[A-Za-z!/]|&")
+    return F.when(marked, _stripped(F.when(marked, text))).otherwise(text)
 
 
 def is_all_caps(text: Column) -> Column:

@@ -59,7 +59,8 @@ def hard_negatives(hits: DataFrame, gold: DataFrame, n: int = HARD, top: int = T
         F.sum("part").alias("fusion"), F.min("place").alias("best_place"), F.min(F.struct((-F.col("part")).alias("p"), "source"))["source"].alias("source_model"),
         F.array_sort(F.collect_list(F.struct("source", "rank", "score", "part"))).alias("support"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("fusion"), "best_place", F.col("context_id").cast("string"))
+    # sums in another order differ in their last digits; those are equal
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("fusion", 9)), "best_place", F.col("context_id").cast("string"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 

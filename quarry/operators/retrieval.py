@@ -6,6 +6,11 @@ query's work follows the postings of its terms. Small sides are broadcast where
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once: a copy in the session's ``spark.checkpoint.dir`` or, where none is set, blocks on disk that are computed again if lost."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True) if context._jsc.sc().getCheckpointDir().isDefined() else df.persist(StorageLevel.DISK_ONLY)
+
+
 def tokenized(chunks: DataFrame, text_col: str = "text", profile: str = "plain", queries: bool = False) -> DataFrame:
     make = lexical.query_tokens if queries else lexical.document_tokens
     return chunks.withColumn("tokens", make(F.col(text_col), profile))
@@ -55,17 +68,29 @@ def saturation(tf: Column, dl: Column, average: Column, k1: float, b: float, met
     return part if method in ("lucene", "robertson") else (k1 + 1) * part + (1.0 if method == "bm25+" else 0.0)
 
 
+def postings(chunks: DataFrame, terms: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """(chunk id, dl, term, tf) of the given terms, and a row with term null for each chunk (tf: how many have that id and length).
+
+    One pass over the token arrays; other terms leave before anything is shuffled.
+    """
+    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+    rows = chunks.select(F.col(id_col), F.size(tokens).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), tokens)).alias("term"))
+    key = F.coalesce("term", F.concat(F.lit("\0"), F.col(id_col).cast("string")))  # spreads the chunks' own rows if both sides are shuffled
+    asked = small(terms.select(F.col("term").alias("asked")))
+    met = rows.withColumn("key", key).join(asked, F.col("key") == F.col("asked"), "left").where("term is null or asked is not null")
+    return met.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, method: str = "lucene", id_col: str = "chunk_id", query_col: str = "query_id") -> DataFrame:
     """(query, chunk, score) of every chunk that shares a term with a query. Both sides have token arrays; repeated query terms count each."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    size = chunks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average")).first()
-    tf = term_frequencies(chunks, id_col)
     asked = queries.select(query_col, F.explode("tokens").alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("qtf"))
-    terms = small(asked.select("term").distinct())
-    hit = tf.join(terms, "term", "left_semi")
+    found = kept(postings(chunks, asked.select("term").distinct(), id_col))
+    size = found.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("average")).first()
+    hit = found.where("term is not null")
     stats = hit.groupBy("term").agg(F.count("*").alias("df"))
-    weight = asked.join(stats, "term").select(query_col, "term", "qtf", idf(F.lit(float(size["n"])), F.col("df"), method).alias("idf"))
+    weight = asked.join(stats, "term").select(query_col, "term", "qtf", idf(F.lit(float(size["n"] or 0)), F.col("df"), method).alias("idf"))
     part = saturation(F.col("tf").cast("double"), F.col("dl"), F.lit(float(size["average"] or 1.0)), k1, b, method)
     scored = hit.select(id_col, "term", part.alias("part")).join(small(weight), "term")
     return scored.groupBy(query_col, id_col).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("part")).alias("score"))
@@ -84,13 +109,36 @@ def inner(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query_id", id_col: str = "chunk_id", vector_col: str = "vector", most: int = 2_000) -> DataFrame:
-    """Exact inner-product search: each query against all rows, in blocks of at most ``most`` queries, each a broadcast of known size."""
-    n = queries.count()
-    asked = queries.select(query_col, F.col(vector_col).alias("q"), F.pmod(F.xxhash64(query_col), F.lit(max(1, -(-n // most)))).alias("block"))
+    """Exact inner-product search: blocks of at most ``most`` queries, broadcast, times batches of rows as matrices; k of each batch leave it.
+
+    Vectors that are null take no part, nor do those whose length isn't the queries'; equal scores: smaller id first.
+    """
+    context, schema = vectors.sparkSession.sparkContext, f"{query_col} {queries.schema[query_col].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col), F.col(vector_col).alias("q"))
+    n = max(1, -(-asked.count() // most))
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v"), order_key(F.col(id_col)).alias("o"))
     out = None
-    for block in range(max(1, -(-n // most))):
-        pairs = vectors.select(id_col, F.col(vector_col).alias("v")).join(F.broadcast(asked.where(F.col("block") == block).drop("block")), F.lit(True))
-        scored = pairs.select(query_col, id_col, inner(F.col("q"), F.col("v")).alias("score"))
+    for block in range(n):
+        some = asked.where(F.pmod(F.xxhash64(query_col), F.lit(n)) == block).collect()
+        shared = context.broadcast(([r[0] for r in some], [r[1] for r in some]))
+
+        def top(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, lists = shared.value
+            widths = np.array([len(v) for v in lists])
+            groups = [(at, np.array([lists[i] for i in at], np.float64)) for w in np.unique(widths) for at in [np.flatnonzero(widths == w)]]
+            for frame in frames:
+                length = frame["v"].map(len).to_numpy()
+                for at, q in groups:
+                    own = frame[length == q.shape[1]]
+                    if own.empty:
+                        continue
+                    order = sorted(range(len(own)), key=[(o["kind"], o["value"] or 0, o["id"]) for o in own["o"]].__getitem__)
+                    own = own.iloc[order]
+                    scores = q @ np.stack(own["v"].to_list()).T
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({query_col: np.repeat([ids[i] for i in at], best.shape[1]), id_col: own[id_col].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+
+        scored = rows.mapInPandas(top, schema)
         out = scored if out is None else out.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), order_key(F.col(id_col))))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -100,11 +100,12 @@ def dense_topk(spark, sf):
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 10).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, round(1.0, 6) AS unit_norm FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v)
+SELECT vec_id, round(n, 6) AS norm, round(e[1] / n, 6) AS first, round(e[len(e)] / n, 6) AS last, round(list_sum(list_transform(e, lambda x: x / n)), 6) AS total FROM n""")
 def l2_norm(spark, sf):
-    e = table(spark, sf, "embeddings")
-    size = lambda v: F.round(F.sqrt(retrieval.inner(v, v)), 6)
-    return e.select("vec_id", size(F.col("embedding").cast("array<double>")).alias("norm"), size(retrieval.unit(F.col("embedding"))).alias("unit_norm"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), retrieval.unit(F.col("embedding")).alias("u"))
+    total = F.aggregate("u", F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", *(F.round(c, 6).alias(n) for n, c in (("norm", F.sqrt(retrieval.inner(F.col("e"), F.col("e")))), ("first", F.element_at("u", 1)), ("last", F.element_at("u", -1)), ("total", total))))
 
 
 # ---- hits per context: an order is a query, its line items are hits on parts
@@ -297,21 +298,28 @@ def tfidf_neighbours(spark, sf):
     return similar.withColumn("r", turn).where("r = 1").select("query_id.conv_id", "query_id.turn", "train_id", "similarity")
 
 
-YEARS = f"""WITH r AS ({RANKED}), q AS (SELECT o_orderkey AS query_id, year(o_orderdate) AS y FROM orders),
-h AS (SELECT l_orderkey AS query_id, l_partkey AS context_id, list(DISTINCT year(l_shipdate)) AS ys FROM lineitem GROUP BY ALL),
-m AS (SELECT r.query_id, r.context_id, r.rank, list_contains(ys, y) AS fits FROM r JOIN q USING (query_id) JOIN h USING (query_id, context_id)),
-c AS (SELECT query_id, min(CASE WHEN fits AND rank BETWEEN 3 AND 10 THEN rank END) AS p, bool_or(fits AND rank <= 2) AS there FROM m GROUP BY ALL)
-SELECT r.query_id, r.context_id, CAST(CASE WHEN there OR p IS NULL THEN r.rank WHEN r.rank = p THEN 2 WHEN r.rank >= 2 AND r.rank < p THEN r.rank + 1 ELSE r.rank END AS INTEGER) AS rank FROM r LEFT JOIN c USING (query_id)"""
+YEARS = f"""WITH r AS (SELECT * FROM ({RANKED}) WHERE rank <= 10), q AS (SELECT o_orderkey AS query_id, year(o_orderdate) AS y FROM orders),
+h AS (SELECT l_partkey AS context_id, list(DISTINCT year(l_shipdate)) AS ys FROM lineitem GROUP BY ALL),
+m AS (SELECT r.query_id, r.context_id, r.rank, list_contains(ys, y) AS fits FROM r JOIN q USING (query_id) JOIN h USING (context_id)),
+c AS (SELECT query_id, min(CASE WHEN fits AND rank > 5 THEN rank END) AS p, bool_or(fits AND rank <= 5) AS there FROM m GROUP BY ALL)"""
+
+
+def year_parts(spark, sf):
+    """A ranking, the orders' dates as questions, and the parts' dates of shipping as headers."""
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("question"))
+    headers = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("context_id")).agg(F.array_join(F.sort_array(F.collect_set(F.date_format("l_shipdate", "dd/MM/yyyy"))), " ").alias("header"))
+    return ranked_hits(spark, sf).select("query_id", "context_id", "rank"), asked, headers
 
 
-@query(YEARS)
+@query(YEARS + " SELECT c.query_id, context_id FROM c JOIN r ON c.query_id = r.query_id AND r.rank = p WHERE NOT there AND p IS NOT NULL")
+def year_choice(spark, sf):
+    return rules.year_choice(*year_parts(spark, sf))
+
+
+@query(YEARS + f" SELECT f.query_id, f.context_id, CAST(CASE WHEN there OR p IS NULL THEN f.rank WHEN f.rank = p THEN 5 WHEN f.rank >= 5 AND f.rank < p THEN f.rank + 1 ELSE f.rank END AS INTEGER) AS rank FROM ({RANKED}) f LEFT JOIN c USING (query_id)")
 def year_promote(spark, sf):
-    order = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.year("o_orderdate").alias("y"))
-    ships = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("context_id")).agg(F.collect_set(F.year("l_shipdate")).alias("ys"))
-    ranking = ranked_hits(spark, sf).select("query_id", "context_id", "rank")
-    m = ranking.join(order, "query_id").join(ships, ["query_id", "context_id"]).withColumn("fits", F.array_contains("ys", F.col("y")))
-    c = m.groupBy("query_id").agg(F.max(F.col("fits") & (F.col("rank") <= 2)).alias("there"), F.min(F.when(F.col("fits") & F.col("rank").between(3, 10), F.struct("rank", "context_id")))["context_id"].alias("context_id"))
-    return rules.promoted(ranking, c.where("not there and context_id is not null"), 2)
+    ranking, asked, headers = year_parts(spark, sf)
+    return rules.promoted(ranking, rules.year_choice(ranking, asked, headers))
 
 
 # ---- signals and finalizers
@@ -415,7 +423,7 @@ def line_shapes(spark, sf):
 
 @query("SELECT doc_id, sha256(array_to_string(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:_[\\p{L}\\p{N}]+)*'), lambda x: strip_accents(replace(x, 'đ', 'd'))), ' ')) AS folded FROM documents")
 def fold_accents(spark, sf):
-    words = F.transform(lexical.word_tokens(F.col("text")), lambda t: F.translate(t, text.ACCENTED, text.PLAIN))
+    words = F.transform(lexical.word_tokens(F.col("text")), lambda t: text.fold_accents(t, composed=True))
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.array_join(words, " "), 256).alias("folded"))
 
 
@@ -466,7 +474,8 @@ def question_type(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.question_type(F.col("text")).alias("kind"))
 
 
-@query()
+@query(f"""SELECT doc_id, coalesce(array_to_string(list_filter(y, lambda x, i: list_position(y, x) = i), ','), '') AS years FROM (
+  SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: regexp_full_match(d, '19[5-9][0-9]|20[0-3][0-9]')), lambda d: d) AS y FROM documents)""")
 def years_named(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.years(F.col("text")), ",").alias("years"))
 
@@ -527,14 +536,14 @@ k AS (SELECT r.query_id, r.source, r.place, r.context_id, r.raw_score AS s, r.ra
       FROM r JOIN gs ON r.query_id = gs.query_id AND r.source = gs.source WHERE r.raw_score < 0.95e0 * g AND NOT EXISTS (SELECT 1 FROM gold WHERE gold.query_id = r.query_id AND gold.context_id = r.context_id)),
 m AS (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM k WHERE t <= 10 WINDOW w AS (PARTITION BY query_id, source)),
 c AS (SELECT query_id, context_id, source, t, {part} AS part FROM m),
-f AS (SELECT query_id, context_id, round(sum(part), 6) AS fusion, min(t) AS t FROM c GROUP BY ALL)
-SELECT query_id, context_id, fusion FROM f"""
+f AS (SELECT query_id, context_id, sum(part) AS fusion, min(t) AS t, arg_min(source, {{'p': -part, 's': source}}) AS source_model FROM c GROUP BY ALL)
+SELECT * FROM (SELECT query_id, context_id, round(fusion, 6) AS fusion, source_model, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fusion, 9) DESC, t, CAST(context_id AS VARCHAR)) AS INTEGER) AS rank FROM f) WHERE rank <= 4"""
 
 
 def negatives(spark, sf, method):
     rows = long_ranks(spark, sf).withColumnRenamed("raw_score", "score")
     gold = pairs(spark, sf).groupBy("query_id").agg(F.min("context_id").alias("context_id"))
-    return mining.hard_negatives(rows, gold, n=1_000, method=method).select("query_id", "context_id", F.round("fusion", 6).alias("fusion"))
+    return mining.hard_negatives(rows, gold, method=method).select("query_id", "context_id", F.round("fusion", 6).alias("fusion"), "source_model", "rank")
 
 
 @query(negatives_sql("CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1 END"))
@@ -565,10 +574,11 @@ def stratified_split(spark, sf):
     return mining.split(rows, 100, id_col="doc_id").select("doc_id", "label", "part")
 
 
-@query("SELECT doc_id FROM labels WHERE false")
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def leakage_check(spark, sf):
-    parts = mining.split(table(spark, sf, "labels").select("doc_id", F.concat_ws("_", "quality", "toxic").alias("label")), 100, id_col="doc_id")
-    return mining.leaks(parts.where("part = 'train'"), parts.where("part = 'dev'"), "doc_id")
+    """Parts of two groups of line items that overlap."""
+    rows = table(spark, sf, "lineitem")
+    return mining.leaks(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"), "l_partkey")
 
 
 @query("SELECT a.p_brand AS anchor, a.p_partkey AS positive, n.s_suppkey AS negative FROM part a JOIN supplier n ON a.p_size = n.s_nationkey")
