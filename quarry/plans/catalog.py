@@ -60,9 +60,12 @@ def idf_table(spark, sf):
 
 
 def bm25_sql(method: str) -> str:
-    part = "tf / (tf + 1.2e0 * (1 - 0.55e0 + 0.55e0 * dl / avgdl))"
-    idf = {"lucene": "ln(1 + (n - df + 0.5e0) / (df + 0.5e0))", "atire": "ln(n / df)"}[method]
-    part = part if method == "lucene" else f"2.2e0 * {part}"
+    norm = "(1 - 0.55e0 + 0.55e0 * dl / avgdl)"
+    part = f"tf / (tf + 1.2e0 * {norm})"
+    rsj = "(n - df + 0.5e0) / (df + 0.5e0)"
+    idf = {"lucene": f"ln(1 + {rsj})", "robertson": f"greatest(ln({rsj}), 0)", "atire": "ln(n / df)", "bm25l": "ln((n + 1) / (df + 0.5e0))", "bm25+": "ln((n + 1) / df)"}[method]
+    wide = f"2.2e0 * (tf / {norm} + 0.5e0) / (1.2e0 + tf / {norm} + 0.5e0)"
+    part = {"lucene": part, "robertson": part, "atire": f"2.2e0 * {part}", "bm25l": wide, "bm25+": f"(2.2e0 * {part} + 1)"}[method]
     return f"""
 WITH d AS ({DOC_TERMS}), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len({WORDS.format('text')})) AS avgdl FROM documents),
 tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -380,7 +383,7 @@ def recipe_cascade(spark, sf):
     return recipe.run(plan, ledger, top, rows, {"overlap": recipe.overlap}).ledger.select("query_id", "context_id", "channel", F.round("value", 6).alias("value"), "rank", "view")
 
 
-@query()
+@query(f"SELECT query_id, context_id, 'ctx' || context_id || '__p00000' AS chunk_id, 'asked' AS reason, CAST(1 AS INTEGER) AS position FROM ({bm25_sql('lucene')})")
 def evidence_pick(spark, sf):
     top = bm25_topk(spark, sf)
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.concat(F.lit("ctx"), F.col("doc_id").cast("string"), F.lit("__p00000")).alias("chunk_id"), "text")
@@ -556,7 +559,11 @@ def hard_negatives_rrf(spark, sf):
     return negatives(spark, sf, "rrf")
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS context_id FROM lineitem), k AS (SELECT query_id, count(*) AS n FROM g GROUP BY ALL), size AS (SELECT count(DISTINCT p_partkey) AS size FROM part),
+c AS (SELECT context_id, row_number() OVER (ORDER BY md5('20260904:' || context_id), context_id) - 1 AS place FROM (SELECT DISTINCT p_partkey AS context_id FROM part)),
+s AS (SELECT query_id, step, (CAST('0x' || substr(md5('20260904:' || query_id), 1, 12) AS BIGINT) % size + step) % size AS place FROM (SELECT query_id, unnest(range(0, n + 2)) AS step FROM k), size),
+f AS (SELECT s.query_id, c.context_id, row_number() OVER (PARTITION BY s.query_id ORDER BY step) AS turn FROM s JOIN c USING (place) ANTI JOIN g ON s.query_id = g.query_id AND c.context_id = g.context_id)
+SELECT query_id, context_id, CAST(turn AS INTEGER) AS turn FROM f WHERE turn <= 2""")
 def random_negatives(spark, sf):
     gold = pairs(spark, sf).select("query_id", "context_id")
     return mining.random_negatives(gold.select("query_id"), table(spark, sf, "part").select(F.col("p_partkey").alias("context_id")), gold)
@@ -617,3 +624,6 @@ def recall_at_10(spark, sf):
 def parameter_budget(spark, sf):
     rows = table(spark, sf, "part").groupBy(F.col("p_brand").alias("checkpoint")).agg(F.max("p_partkey").alias("parameters"))
     return signals.budget(rows.withColumn("name", F.col("checkpoint")))
+
+
+from quarry.plans import parts  # noqa: E402, F401  (adds its queries)
