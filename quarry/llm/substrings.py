@@ -10,7 +10,7 @@ one class: later ones repeat the first from end to end.
 
 Defined results: a null text has no words; fewer words than a window: nothing is removed; a null id counts as
 larger than any other; rows that share an id count as one document, and those with the same text get the same
-result each; other columns of the input are ignored (``repeats``) or kept as they are (``strip``).
+result each; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -56,3 +56,23 @@ def test_repeated_ids_with_other_texts_stay(spark):
     rows = [(1, "one two three four five six"), (1, "quite another text of this id"), (2, "one two three four five six"), (None, "x")]
     got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "x"), (1, rows[0][1]), (1, rows[1][1])]
+
+
+def test_run_against_loops_of_every_stage(spark, sf):
+    """Near copies by both links that the stage has; the other stages by plain loops."""
+    import re
+
+    from quarry.llm import bpe, pii, registry, toxicity
+
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    score = toxicity.scorer(toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")))
+    docs = docs[[score(t)[2] < 0.5 for t in docs.text]]
+    left = kept(list(docs.doc_id), list(docs.text), corpus_pipeline.REACH)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    items = [words(t) for t in pd.read_parquet(f"{sf}/benchmark.parquet").text]
+    windows = {tuple(w[k : k + n]) for w in items if w for n in [min(10, len(w))] for k in range(len(w) - n + 1)}
+    sizes = {len(w) for w in windows}
+    clean = lambda t: not any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))
+    codec = bpe.codec(registry.tokenizer_text())
+    want = {i: len(codec.encode(pii.redacted(t))) // 4 for i, t in zip(docs.doc_id, docs.text) if i in left and clean(t)}
+    assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf).collect()} == want
