@@ -5,7 +5,8 @@ their joined bytes into just these two. A token sequence is the encoding of its
 neighbouring pair is compatible, so each prefix of a word has one last token, found from the last tokens of
 shorter prefixes. A token that is still to come starts within the longest token's length of the place read, so
 the chains of last tokens from that window hold all that can still happen: what they share is stable and is
-emitted. The merge list's sufficient lookahead bounds how long they can stay apart; the state is that window.
+emitted. The state is that window, and ``Merges.reach`` bounds it: it is the merge list's sufficient lookahead.
+Texts are split and encoded a slice at a time, so that beside the text itself nothing grows with it.
 
 Decoding is a byte-to-text state machine: it keeps at most three bytes of an unfinished character.
 
@@ -21,6 +22,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ WORDS_KEPT = 250_000
 PAIRS_KEPT = 400_000
 #: Bytes read between two looks at what is stable.
 PIECE = 256
+#: Characters that are split at once; a longer word widens its slice.
+SLICE = 1 << 20
+#: Characters before a slice's end whose split what follows could change (``'re`` is the longest such piece).
+UNSETTLED = 4
 #: In place of a last token: where a word begins; where none ends.
 BEGIN, NONE = -1, -2
 TOKEN = -1
@@ -61,7 +67,7 @@ class Merges:
         self.longest = max(map(len, self.ids))
         self.sizes = {i: len(b) for i, b in self.bytes.items()}
         #: Bytes after which the tokens before are settled, whatever follows: a bound of the merge list alone.
-        self.lookahead = self.longest * len(self.ids)
+        self.lookahead = self.reach()
         #: Tokens by their bytes from last to first; at TOKEN its id, and before which tokens it is known to fit.
         self.back: dict = {}
         self.fitting: list[dict[int, bool]] = []
@@ -72,6 +78,28 @@ class Merges:
             self.fitting.append({BEGIN: True, NONE: False})
             node[TOKEN] = (i, self.fitting[-1])
 
+    def reach(self) -> int:
+        """How far before a place what follows it can still change tokens.
+
+        Let two continuations of the same bytes be merged in order of rank, and look at the left border of what
+        differs. Only a merge (u, v) that one of them does and the other doesn't moves it, from the begin of v to
+        the begin of u. The next such merge comes later in the list, and its right side begins at the border, so
+        with the bytes of u. The heaviest chain of merges so linked, each counting the bytes of its left side, is
+        the bound. It holds if each token is made by one merge, before all that use it; without that, the number
+        of tokens times the longest.
+        """
+        made = {bytes([b]) for b in range(256)}
+        heaviest: dict[bytes, int] = {}  # of chains that end with this left side
+        most = 0
+        for left, right in self.rank:
+            if left not in made or right not in made or left + right in made:
+                return self.longest * len(self.ids)
+            made.add(left + right)
+            weight = len(left) + max((heaviest.get(right[:n], 0) for n in range(1, len(right) + 1)), default=0)
+            heaviest[left] = max(weight, heaviest.get(left, 0))
+            most = max(most, weight)
+        return most
+
     def merged(self, word: bytes) -> list[bytes]:
         """The merges applied in order of rank; for the short strings of the compatibility test."""
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -139,7 +167,8 @@ class Transducer:
                         yield self.chain(last, stable)
                         window, last = window[stable:], last[stable:]
                     check = len(window) + longest
-                    if len(window) > self.m.lookahead:
+                    # chains from the last places differ at most so far before the first of these
+                    if len(window) > self.m.lookahead + 3 * longest + PIECE:
                         raise ValueError("the merge list needs more lookahead than its bound")
         yield self.chain(last, len(window))
 
@@ -162,7 +191,8 @@ class Transducer:
 
     def word(self, word: bytes) -> bytes:
         """A word's token ids as little-endian unsigned 32-bit integers."""
-        return b"".join(array("I", tokens).tobytes() for tokens in self.stream((word,)))
+        pieces = (word[i : i + PIECE] for i in range(0, len(word), PIECE))
+        return b"".join(array("I", tokens).tobytes() for tokens in self.stream(pieces))
 
 
 class Words(dict):
@@ -202,18 +232,35 @@ class Codec:
         self.special = re.compile("|".join(f"({re.escape(t)})" for t in self.merges.special)) if self.merges.special else None
         self.any = regex.compile(ANY)
 
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        words = self.transducer.words
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The text split, a slice at a time. What touches a slice's end is split again with the next slice."""
         split = (self.any if BEYOND.search(text) else LATIN).findall
-        if self.special is None or not self.special.search(text):
-            return b"".join(map(words.__getitem__, split(text)))
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += map(words.__getitem__, split(text[at : m.start()]))
-            out.append(self.merges.special[m[0]].to_bytes(4, "little"))
+        at, wide = 0, SLICE
+        while at + wide < len(text):
+            found = split(text[at : at + wide])
+            size = wide
+            while found and size > wide - UNSETTLED:
+                size -= len(found.pop())
+            if found:
+                yield found
+                at, wide = at + size, SLICE
+            else:
+                wide *= 2
+        yield split(text[at:] if at else text)
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Token ids as little-endian unsigned 32-bit integers, slice by slice."""
+        ids, at = self.transducer.words.__getitem__, 0
+        for m in self.special.finditer(text) if self.special is not None else ():
+            for words in self.words(text[at : m.start()]):
+                yield b"".join(map(ids, words))
+            yield self.merges.special[m[0]].to_bytes(4, "little")
             at = m.end()
-        return b"".join([*out, *map(words.__getitem__, split(text[at:]))])
+        for words in self.words(text[at:] if at else text):
+            yield b"".join(map(ids, words))
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.pieces(text))
 
     def decode(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[str]:
         """Pieces of text; bytes that are no UTF-8 become U+FFFD."""
@@ -280,13 +327,19 @@ def digest(df: DataFrame, tokenizer: str) -> DataFrame:
         def work(ids, texts):
             n, first, second = [], [], []
             for t in texts:
-                packed = c.encode(t or "")
-                n.append(len(packed) // 4)
-                first.append(hashlib.sha256(packed).hexdigest())
-                h = hashlib.sha256()
-                for piece in c.decode(ids_of(packed)):
-                    h.update(piece.encode())
-                second.append(h.hexdigest())
+                of_ids, of_text, size = hashlib.sha256(), hashlib.sha256(), 0
+
+                def seen(packed, of_ids=of_ids):
+                    nonlocal size
+                    of_ids.update(packed)
+                    size += len(packed) // 4
+                    return ids_of(packed)
+
+                for piece in c.decode(chain.from_iterable(map(seen, c.pieces(t or "")))):
+                    of_text.update(piece.encode())
+                n.append(size)
+                first.append(of_ids.hexdigest())
+                second.append(of_text.hexdigest())
             return [ids, n, first, second]
 
         return work

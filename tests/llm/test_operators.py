@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 
@@ -179,6 +180,43 @@ def test_bpe_emits_before_the_word_ends(codec):
     assert len(list(t.stream([b"ab" * 3000]))) > 5
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(alphabet="ab '\n1é漢-", max_size=120) | st.sampled_from(["it're " * 9, " " * 40 + "x", "ab" * 60, "a<|endoftext|> b" * 5]))
+def test_bpe_slices_change_nothing(codec, library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    for size in (1, 3, 8):
+        bpe.SLICE, kept = size, bpe.SLICE
+        try:
+            assert list(bpe.ids_of(codec.encode(text))) == ids
+        finally:
+            bpe.SLICE = kept
+
+
+def test_bpe_lookahead_against_all_continuations(codec):
+    """No continuation changes a boundary further back than the bound; and the window of last tokens stays within it."""
+    random.seed(11)
+    texts = [bytes(t) for n in range(9) for t in itertools.product(b"ab", repeat=n)]
+    binding = 0
+    for _ in range(60):
+        tokens, merges = ["a", "b"], []
+        while len(merges) < random.randint(1, 7):
+            left, right = random.choice(tokens), random.choice(tokens)
+            if left + right not in tokens and len(left + right) < 7:
+                tokens.append(left + right)
+                merges.append((left, right))
+        m = bpe.Merges(json.dumps({"model": {"vocab": {t: n for n, t in enumerate(tokens)}, "merges": merges}, "added_tokens": []}))
+        ends = {t: set(itertools.accumulate(map(len, m.merged(t)))) for t in texts}
+        for t in texts:
+            for e in range(len(t) + 1):
+                alike = {b for b in ends[t] if b <= e} ^ {b for b in ends[t[:e]] if b <= e}
+                assert all(b > e - m.lookahead for b in alike), (merges, t, e)
+                binding += any(b == e - m.lookahead + 1 for b in alike)
+    assert binding  # the bound is met somewhere
+    assert 128 < codec.merges.lookahead < 1_000
+    broken = {"model": {"vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "abc": 4}, "merges": ["ab c", "a b"]}, "added_tokens": []}
+    assert bpe.Merges(json.dumps(broken)).lookahead == 15  # used before it is made: the bound of any list
+
+
 def test_bpe_rows(spark, codec):
     rows = documents(spark, [(1, "a b"), (2, None), (2, ""), (None, "<|endoftext|>")])
     got = sorted(bpe.digest(rows, registry.tokenizer_text()).collect(), key=str)
