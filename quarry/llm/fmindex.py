@@ -88,19 +88,24 @@ class FMIndex:
     def whole(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(n, np.int64), np.full(n, len(self.suffixes), np.int64)
 
-    def statistics(self, query: np.ndarray, most: int) -> np.ndarray:
-        """Matching statistics: for each end in the query, how many words up to it (``most`` at most) match somewhere."""
-        out = np.zeros(len(query), np.int64)
-        at = np.arange(len(query))
-        low, high = self.whole(len(query))
+    def statistics(self, query: np.ndarray, most: int, ends: np.ndarray | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics (size, low, high) of a streamed query: for each end in it (all, if none are named) how
+        many words up to and with it, ``most`` at most, match in ``least`` places or more, and the suffixes that do.
+
+        All ends go abreast; one leaves as soon as another word would leave too few places.
+        """
+        ends = np.arange(len(query)) if ends is None else ends
+        size = np.zeros(len(ends), np.int64)
+        lows, highs = self.whole(len(ends))
+        at, low, high = np.arange(len(ends)), lows, highs
         for step in range(most):
-            here = at - step
-            go = here >= 0
-            at, low, high, here = at[go], low[go], high[go], here[go]
-            known = (query[here] > 0) & (query[here] < len(self.zero))
-            at, low, high, here = at[known], low[known], high[known], here[known]
-            low, high = self.extend(query[here], low, high)
-            found = low < high
+            here = ends[at] - step
+            symbol = query[here]  # a place before the query reads some word, and is left out
+            go = (here >= 0) & (symbol > 0) & (symbol < len(self.zero))
+            if not go.all():
+                at, low, high, symbol = at[go], low[go], high[go], symbol[go]
+            low, high = self.extend(symbol, low, high)
+            found = high - low >= least
             at, low, high = at[found], low[found], high[found]
-            out[at] = step + 1
-        return out
+            size[at], lows[at], highs[at] = step + 1, low, high
+        return size, lows, highs

@@ -4,8 +4,9 @@ A window is ``window`` consecutive words. Runs of windows that share a minimizer
 groups in them) go to the shard that the minimizer names, so every repeat of a window meets its earliest
 occurrence in one shard. Only minimizers seen twice are looked at further; runs of equal words are counted once
 with their earliest place; a frequent minimizer's windows are dealt singly by their own hash, as the texts around
-a very common passage all differ. A shard indexes its different runs and streams them through backward search:
-a window's suffix range holds all its occurrences, of which the least place counts. Documents of equal words are
+a very common passage all differ. A shard indexes its different runs and streams them past the index: matching
+statistics, by backward search, report the intervals that reach a window in two places or more, and the suffix range
+of each holds all its occurrences, of which the least place counts. Documents of equal words are
 one class: later ones repeat the first from end to end.
 
 Defined results: a null text has no words; fewer words than a window: nothing is removed; a null id counts as
@@ -192,17 +193,13 @@ def earliest(window: int):
         order[by_place] = np.arange(len(symbols))
         whole = np.full(len(index.suffixes), len(symbols), np.int64)
         whole[np.repeat(index.starts, lengths) + within] = order
-        # backward search, all windows abreast; one whose range has shrunk to one suffix has met only itself
+        # the runs are streamed past the index; an interval repeats if its end's statistic reaches the window in two places or more
         windows = lengths - window + 1
-        line = np.repeat(np.arange(len(lengths)), windows)
-        begin = np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(np.cumsum(lengths) - lengths, windows)
+        begin = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(np.cumsum(lengths) - lengths, windows)
         first = order[begin]
-        at = np.arange(len(begin))
-        low, high = index.whole(len(begin))
-        for step in range(window - 1, -1, -1):
-            low, high = index.extend(symbols[begin[at] + step], low, high)
-            several = high - low > 1
-            at, low, high = at[several], low[several], high[several]
+        size, low, high = index.statistics(symbols, window, begin + window - 1, least=2)
+        at = np.flatnonzero(size == window)
+        low, high = low[at], high[at]
         if len(at):
             ranges, which = np.unique(low, return_inverse=True)
             tops = np.empty(len(ranges), np.int64)

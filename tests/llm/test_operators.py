@@ -399,7 +399,11 @@ def test_fm_index_against_search():
             assert int((high - low).clip(0)[0]) == count(list(q))
     query = [1, 2, 3, 4, 1, 1]
     want = [max(k for k in range(min(e + 1, 4) + 1) if not k or count(query[e + 1 - k : e + 1])) for e in range(len(query))]
-    assert index.statistics(np.array(query), 4).tolist() == want
+    assert index.statistics(np.array(query), 4)[0].tolist() == want
+    want = [max(k for k in range(min(e + 1, 4) + 1) if not k or count(query[e + 1 - k : e + 1]) > 1) for e in range(len(query))]
+    got, low, high = index.statistics(np.array(query), 4, least=2)
+    assert got.tolist() == want and all(b - a == count(query[e + 1 - k : e + 1]) for e, (k, a, b) in enumerate(zip(got, low, high)) if k)
+    assert index.statistics(np.array(query), 4, np.array([5, 2]))[0].tolist() == [index.statistics(np.array(query), 4)[0][e] for e in (5, 2)]
 
 
 def brute_removed(docs, window):
