@@ -303,3 +303,25 @@ def common_prefix(paths: Column) -> Column:
         return F.slice(a, F.lit(1), upto)
 
     return F.aggregate(F.slice(paths, 2, 1_000_000), F.coalesce(F.get(paths, F.lit(0)), F.array().cast("array<string>")), both)
+
+
+def normalize_id(value: Column, kind: str = "string") -> Column:
+    """An id as text: null is empty, a whole number of type double has no point, other values lose blanks around them.
+
+    ``kind`` is the column's type; whole numbers of over 38 digits stay as they are written.
+    """
+    text = F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", "")
+    if kind in ("double", "float"):
+        text = F.coalesce(F.when((value == F.rint(value)) & (F.abs(value) < 1e37), value.cast("decimal(38,0)").cast("string")), text)
+    return F.coalesce(text, F.lit(""))
+
+
+def finite(value: Column) -> Column:
+    """The value; one that is null, NaN or infinite is an error when it is read."""
+    x = value.cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("score is not finite")).cast("double")).otherwise(x)
+
+
+def optional(value: Column, kind: str) -> Column:
+    """A number of type ``kind``; null and an empty text are null, other text that is no number is an error."""
+    return F.nullif(value, F.lit("")).cast(kind)

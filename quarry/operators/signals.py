@@ -50,6 +50,19 @@ def rank_problems(ledger: DataFrame) -> DataFrame:
     return r.where("d <> n or lo <> 1 or hi <> n").select("query_id", "channel")
 
 
+def order_problems(ledger: DataFrame, pairs: DataFrame, channels: list[str]) -> DataFrame:
+    """(query_id, channel): where a strict channel doesn't rank just the query's pairs, each once, from 1 to n; also where it ranks none."""
+    asked = pairs.select(F.col("query_id").cast("string"), F.col("context_id").cast("string")).distinct()
+    want = asked.select(*PAIR, F.explode(F.array(*map(F.lit, channels))).alias("channel"), F.lit(None).cast("int").alias("rank"), F.lit(1).alias("asked"))
+    told = ledger.where((F.col("kind") == "rank") & F.col("channel").isin(*channels)).select(*PAIR, "channel", "rank", F.lit(0).alias("asked"))
+    each = want.unionByName(told).groupBy("query_id", "channel", "context_id").agg(F.max("asked").alias("asked"), F.count(F.when(F.col("asked") == 0, 1)).alias("n"), F.min("rank").alias("rank"))
+    q = each.groupBy("query_id", "channel").agg(
+        F.max("asked").alias("asked"), F.count_if((F.col("asked") == 0) | (F.col("n") != 1)).alias("odd"), F.count("*").alias("n"),
+        F.count_distinct("rank").alias("ranks"), F.min("rank").alias("low"), F.max("rank").alias("high"),
+    )
+    return q.where("asked = 1 and (odd > 0 or ranks <> n or low <> 1 or high <> n)").select("query_id", "channel")
+
+
 def wide(ledger: DataFrame, names: list[str], field: str = "value") -> DataFrame:
     """A column for each channel."""
     return ledger.where(F.col("channel").isin(*names)).groupBy(*PAIR).agg(*(F.max(F.when(F.col("channel") == n, F.col(field))).alias(n) for n in names))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.functions import vocabulary as V
 from quarry.operators import evidence, fusion, integrity, mining, rules, signals
+from quarry.operators import pool as pools
 from quarry.plans.catalog import FUSED, FUSION_SCORE, HITS, LONG, PAIRS, POOL, RANKED, TOGETHER, bm25_sql, bm25_top, hits, long_ranks, pairs, pool, query, ranked_hits, table
+from quarry.sources import files
 
 # ---- retrieval functions in their other variants
 
@@ -263,3 +265,55 @@ SELECT chunk_id, context_id, text FROM (SELECT 's' || b.i AS chunk_id, context_i
 def evaluation_pool(spark, sf) -> DataFrame:
     rows = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("chunk_id"), F.col("s_nationkey").alias("context_id"), F.col("s_name").alias("text"))
     return mining.evaluation_pool(rows.where("context_id < 5"), rows, 6)
+
+
+# ---- what the rule chain reads, and the contract of a judge
+
+
+@query(f"""WITH p AS (SELECT query_id, context_id, bm25 / 1000e0 AS ce_value, row_number() OVER (PARTITION BY query_id ORDER BY vae DESC, context_id) AS fusion_rank FROM ({PAIRS})),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_value DESC, fusion_rank) AS ce_rank FROM p WHERE fusion_rank <= 200)
+SELECT query_id, context_id, CAST(fusion_rank AS INTEGER) AS fusion_rank, ce_value, CAST(row_number() OVER (PARTITION BY query_id ORDER BY 0.5e0 / (20 + fusion_rank) + 0.5e0 / (20 + ce_rank) DESC, ce_rank) AS INTEGER) AS base_rank FROM c""")
+def candidate_pool(spark, sf):
+    rows = pairs(spark, sf)
+    fused = signals.ranked(rows, "vae", out="rank").select("query_id", "context_id", "rank")
+    judged = rows.select("query_id", "context_id", (F.col("bm25") / 1000.0).alias("ce_value"))
+    return pools.base_order(pools.candidates(fused, judged)).select("query_id", "context_id", "fusion_rank", "ce_value", "base_rank")
+
+
+@query("""SELECT l_orderkey AS context_id, arg_min('[VĂN BẢN] Luật ' || l_suppkey || ' [SỐ/KÝ HIỆU] ' || year(l_shipdate) || '/QH', (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS header
+FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
+def year_headers(spark, sf):
+    text_of = F.concat(F.lit("[VĂN BẢN] Luật "), F.col("l_suppkey").cast("string"), F.lit("\nĐiều 1 [SỐ/KÝ HIỆU]\n[SỐ/KÝ HIỆU] "), F.year("l_shipdate").cast("string"), F.lit("/QH"))
+    chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("context_id"), text_of.alias("text"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("place"))
+    return pools.year_headers(chunks, table(spark, sf, "orders").select(F.col("o_orderkey").alias("context_id")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity % 2 = 0 THEN CAST(CAST(l_quantity / 2 AS BIGINT) AS VARCHAR) ELSE CAST(CAST(l_quantity AS DOUBLE) / 2 AS VARCHAR) END AS half,
+CAST(l_suppkey AS VARCHAR) AS supplier, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_linenumber AS DOUBLE) END AS line FROM lineitem""")
+def uniform_ids(spark, sf):
+    line = F.when(F.col("l_linenumber") == 1, "").otherwise(F.col("l_linenumber").cast("string"))
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", text.normalize_id(text.finite(F.col("l_quantity")) / 2, "double").alias("half"),
+        text.normalize_id(F.concat(F.lit(" "), F.col("l_suppkey").cast("string"), F.lit("\t"))).alias("supplier"), text.optional(line, "double").alias("line"),
+    )
+
+
+@query("""SELECT s_suppkey AS context_id, CASE WHEN s_nationkey < 5 THEN json_object('id', CAST(s_suppkey AS VARCHAR), 'passage', s_name, 'name', s_name)
+ELSE json_object('id', CAST(s_suppkey AS VARCHAR), 'passage', s_name, 'link', 'https://a.b/' || s_nationkey) END::VARCHAR AS value FROM supplier""")
+def context_records(spark, sf):
+    few = F.col("s_nationkey") < 5
+    link = F.when(few, "").otherwise(F.concat(F.lit("https://a.b/"), F.col("s_nationkey").cast("string")))
+    return files.context_records(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("context_id"), F.col("s_name").alias("passage"), link.alias("link"), F.when(few, F.col("s_name")).otherwise("").alias("name")))
+
+
+@query("""WITH w AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS query_id, CAST(l_linenumber AS VARCHAR) AS context_id, c AS channel FROM lineitem, (VALUES ('a'), ('b')) v(c)),
+t AS (SELECT CAST(l_orderkey AS VARCHAR) AS query_id, CAST(l_linenumber AS VARCHAR) AS context_id, 'a' AS channel, l_linenumber + CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS rank FROM lineitem
+  UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), 'b', l_linenumber FROM lineitem WHERE l_quantity > 5),
+e AS (SELECT w.query_id, w.channel, w.context_id, count(t.rank) AS n, min(t.rank) AS rank FROM w LEFT JOIN t ON w.query_id = t.query_id AND w.channel = t.channel AND w.context_id = t.context_id GROUP BY ALL)
+SELECT query_id, channel FROM e GROUP BY ALL HAVING max(n) > 1 OR min(n) < 1 OR count(DISTINCT rank) <> count(*) OR min(rank) <> 1 OR max(rank) <> count(*)""")
+def order_problems(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("context_id"), "l_suppkey", "l_quantity")
+    one = rows.withColumn("rank", F.col("context_id") + F.when(F.col("l_suppkey") % 7 == 0, 1).otherwise(0))
+    two = rows.where("l_quantity > 5").withColumn("rank", F.col("context_id"))
+    ledger = signals.channel(one, "a", "rank", None, "rank").unionByName(signals.channel(two, "b", "rank", None, "rank"))
+    return signals.order_problems(ledger, rows, ["a", "b"])

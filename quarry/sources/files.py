@@ -134,3 +134,9 @@ def write(df: DataFrame, path: str, form: str = "parquet", overwrite: bool = Fal
 def submission_object(answers: DataFrame) -> DataFrame:
     """(query_id, value): each query's JSON object, for the edge that joins them into one file."""
     return answers.select("query_id", F.to_json(F.struct(F.col("answer"))).alias("value"))
+
+
+def context_records(rows: DataFrame) -> DataFrame:
+    """(context_id, value): each context as a JSON object of id, passage and, where there are any, link and name."""
+    given = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("link", "name")]
+    return rows.select("context_id", F.to_json(F.struct(F.col("context_id").cast("string").alias("id"), "passage", *given)).alias("value"))
