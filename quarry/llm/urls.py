@@ -1,25 +1,39 @@
-"""URL filter: explicit rules first, else a path-template tree judged by smoothed labelled purity.
+"""URL filter: explicit rules first, else a path-template tree per host, judged by smoothed labelled purity.
 
-DataFrame functions only. Paths become templates: a segment's digits become a wildcard by shape, and a place
-in a host's tree where most segments are new becomes one by statistics. The rules' own verdicts label the pages
-they fit. A branch (host, host and first segment, host and template) whose share of blocked pages does not
-differ significantly from that of the branch above is merged with it; otherwise its share, smoothed towards
-the branch above, holds. A template whose share is over one half is rejected.
+DataFrame functions only. The rules' own verdicts label the pages they fit; each host has a tree over the segments
+of its paths, built level by level from the root:
 
-All statistics are made of classes (host, shape), counted before anything is shuffled by host, so that one hot
-host is one row per shape; the joins back to pages are salted.
+- a place where most segments are new to it becomes a wildcard, digits or not;
+- the segments of a place that are similar become one branch: in the order of their shares of blocked pages, the
+  next joins the one before unless the two shares differ significantly. Segments without labels, which nothing
+  tells apart, form a branch of their own. The segments below a branch are those of all its members;
+- a branch's share is smoothed towards that of the branch above, the host's towards that of all labelled pages. A
+  branch with no labels, or with all those of the branch above, is judged as that one.
 
-Defined results: a null url, or one without ``://``, has empty host and path and is judged by the whole table's
-share; no labelled page at all: allowed; repeated rows each get a row; other columns of the input are ignored.
+A template whose branch has a share over one half is rejected. A tree has ``LEVELS`` levels: what follows in a
+longer path is its last segment, whole, so that a path of any length is read once.
+
+All statistics are made of classes (host, path), counted before anything is shuffled by host. Branches have short
+names, not paths. Lineage is cut after each level. The window that merges a place's segments orders its different
+shares, not its segments: fractions whose denominators sum to no more than the labelled pages. Joins salt the keys
+that hold over a thousandth of the rows, of which there are a thousand at most.
+
+Where a host has no labelled page, its paths are judged in a further tree, grown alike from the pages of all hosts.
+
+Defined results: a null url, or one without ``://``, has empty host and path, so it has the share of all labelled
+pages; no labelled page at all: allowed; repeated rows each get a row; other columns of the input are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import checkpoint
+
 
 class Rule(NamedTuple):
     verdict: str
@@ -36,11 +50,14 @@ class Rule(NamedTuple):
 
 RULES = (Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow", "www.example.com/en/"), Rule("block", "net/es/"), Rule("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Levels of a host's tree; the name of the tree of all hosts, which no host has.
+LEVELS, ALL = 4, "/"
 #: A place in the tree is a wildcard if it has so many different segments, with fewer pages to each on average.
 DIFFERENT, PAGES_EACH = 8, 4
-#: Weight of the branch above in a branch's share; deviates under which branches are similar.
+#: Weight of the branch above in a branch's share; deviates under which segments are similar.
 PRIOR, DEVIATES = 4.0, 1.96
-SALTS = 16
+#: A key is salted if it holds more than this part of all rows.
+HOT, SALTS = 0.001, 16
 
 
 def rest(url: Column) -> Column:
@@ -65,66 +82,85 @@ def ruled(of_host: Column, of_path: Column, rules: tuple[Rule, ...] = RULES) ->
     return out
 
 
-def shape(of_path: Column) -> Column:
-    """Digits become a wildcard; an extension stays."""
-    return F.regexp_replace(of_path, "[0-9]+", "*")
-
-
-def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
-    """Left join on keys of which one may hold a large part of ``left``; ``right`` has each key once.
+def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], total: int, salts: int = SALTS) -> DataFrame:
+    """Left join on keys of which one may hold a large part of ``left``.
 
+    ``right`` has each key once, and in ``rows`` how many rows of ``left`` hold it. Only keys that hold more than
+    ``HOT`` of ``total`` are repeated for each salt; as they are at most 1 / HOT, ``left`` learns them by a broadcast.
     The salt is a hash of the row's ``spread`` columns, so that a task that runs again deals its rows alike.
     """
-    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(many, [*keys, "__salt"], "left").drop("__salt")
-
-
-def templates(classes: DataFrame) -> DataFrame:
-    """(host, shape, top, template) of each class: segments in places with mostly new segments become wildcards."""
-    segments = F.split("shape", "/")
-    nodes = classes.select(
-        "host", "shape", "n", segments.alias("s"), F.posexplode(segments).alias("at", "segment")
-    ).select("host", "shape", "n", "at", "segment", F.array_join(F.slice("s", 1, F.col("at")), "/").alias("above"))
-    children = nodes.groupBy("host", "above", "at", "segment").agg(F.sum("n").alias("n"))
-    places = children.groupBy("host", "above", "at").agg((F.count("*").alias("different")), F.sum("n").alias("n"))
-    wild = places.where((F.col("different") >= DIFFERENT) & (F.col("n") < F.col("different") * PAGES_EACH)).select("host", "above", "at", F.lit(True).alias("wild"))
-    marked = salted(nodes, wild, ["host", "above", "at"], ["shape"])
-    piece = F.struct("at", F.when(F.col("wild"), "*").otherwise(F.col("segment")).alias("segment"))
-    built = marked.groupBy("host", "shape").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    return built.select("host", "shape", F.coalesce(F.get("p", F.lit(1))["segment"], F.lit("")).alias("top"), F.array_join(F.transform("p", lambda x: x["segment"]), "/").alias("template"))
-
-
-def share(n: Column, blocked: Column, above_n: Column, above_share: Column) -> Column:
-    """A branch's share of blocked pages: the one above if similar, else smoothed towards it."""
-    raw = F.try_divide(blocked, n)
-    pooled = F.try_divide(blocked + above_share * above_n, n + above_n)
-    far = F.pow(raw - above_share, F.lit(2.0)) > DEVIATES * DEVIATES * pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), above_n))
-    return F.when((n > 0) & (above_n > 0) & far, (blocked + PRIOR * above_share) / (n + PRIOR)).otherwise(above_share)
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    hot = F.col("rows") > total * HOT
+    known = right.where(hot).select(*keys, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = left.join(F.broadcast(known), keys, "left").withColumn("__salt", salt).drop("__hot")
+    many = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("rows")
+    return dealt.join(many, [*keys, "__salt"], "left").drop("__salt")
+
+
+def differ(n: Column, bad: Column, n2: Column, bad2: Column) -> Column:
+    """Whether two shares of blocked pages differ significantly."""
+    pooled = (bad + bad2) / (n + n2)
+    return F.pow(bad / n - bad2 / n2, F.lit(2.0)) > DEVIATES * DEVIATES * pooled * (1 - pooled) * (F.lit(1.0) / n + F.lit(1.0) / n2)
+
+
+def merged(pieces: DataFrame) -> DataFrame:
+    """(host, branch, at_share, rows, merge, merge_n, merge_bad): which shares of a place's segments go together."""
+    at_share = (F.col("bad") / F.col("known")).alias("at_share")
+    shares = pieces.where("known > 0").groupBy("host", "branch", at_share).agg(F.count("*").alias("rows"), F.sum("known").alias("k"), F.sum("bad").alias("b"))
+    place = Window.partitionBy("host", "branch")
+    before = place.orderBy("at_share")
+    new = F.coalesce(differ(F.col("k"), F.col("b"), F.lag("k").over(before), F.lag("b").over(before)), F.lit(False))
+    numbered = shares.withColumn("new", new.cast("int")).withColumn("merge", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    branch = Window.partitionBy("host", "branch", "merge")
+    return numbered.select("host", "branch", "at_share", "rows", "merge", F.sum("k").over(branch).alias("merge_n"), F.sum("b").over(branch).alias("merge_bad"))
+
+
+def grow(tree: DataFrame, level: int, total: int) -> DataFrame:
+    """One level more: each class's segment, or a wildcard, its branch, and that branch's share."""
+    c, place = F.col, ["host", "branch"]
+    at = tree.withColumn("segment", F.get("segments", F.lit(level)))
+    children = at.where("branch IS NOT NULL AND segment IS NOT NULL").groupBy(*place, "segment").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    places = children.groupBy(*place).agg(F.count("*").alias("different"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    wild = places.where((c("different") >= DIFFERENT) & (c("n") < c("different") * PAGES_EACH)).select(*place, "rows", F.lit(True).alias("wild"))
+    piece = F.when(c("segment").isNotNull(), F.when(c("wild"), "*").otherwise(c("segment")))
+    seen = salted(at, wild, place, ["path"], total).withColumn("piece", piece)
+    pieces = seen.where("branch IS NOT NULL AND piece IS NOT NULL").groupBy(*place, "piece").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.count("*").alias("of_piece"))
+    pieces = pieces.withColumn("at_share", F.try_divide("bad", "known"))
+    joined = salted(pieces, merged(pieces), [*place, "at_share"], ["piece"], total)
+    found = salted(seen, joined.select(*place, "piece", c("of_piece").alias("rows"), "merge", "merge_n", "merge_bad"), [*place, "piece"], ["path"], total)
+    own = c("merge_n").isNotNull() & (c("merge_n") != c("above"))
+    return found.select(
+        "host", "path", "classes", "n", "known", "bad", "segments",
+        F.when(c("piece").isNotNull(), F.concat("branch", F.lit("/"), F.coalesce(c("merge").cast("string"), F.lit("-")))).alias("branch"),
+        F.when(c("piece").isNotNull(), F.concat("template", F.lit("/"), c("piece"))).otherwise(c("template")).alias("template"),
+        F.when(own, (c("merge_bad") + PRIOR * c("share")) / (c("merge_n") + PRIOR)).otherwise(c("share")).alias("share"),
+        F.coalesce("merge_n", "above").alias("above"),
+    )
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, levels: int = LEVELS) -> DataFrame:
     """(page_id, host, path, rule, template, share, verdict): one row for each page."""
-    each = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("rule", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path")))
-    blocking = [r.rule for r in rules if r.verdict == "block"]
-    blocked = F.col("rule").isin(blocking) if blocking else F.lit(False)
-    classes = each.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("rule").alias("known"), F.count(F.when(blocked, 1)).alias("bad"))
-    tree = classes.join(templates(classes), ["host", "shape"])
-
-    def branch(name: str, *keys: str) -> DataFrame:
-        return tree.groupBy(*keys).agg(F.sum("known").cast("double").alias(f"{name}_n"), F.sum("bad").cast("double").alias(f"{name}_bad"))
-
-    known, bad = (float(x or 0) for x in classes.agg(F.sum("known"), F.sum("bad")).first())
-    at = tree
-    for name, keys in (("t", ["top"]), ("h", ["host"]), ("ht", ["host", "top"]), ("f", ["host", "top", "template"])):
-        at = salted(at, branch(name, *keys), keys, ["host", "shape"])
     c = F.col
-    root_n, root = F.lit(known), F.lit(bad / known if known else 0.0)
-    # a host without labels has the share of its first segment over all hosts
-    at = at.withColumn("t_share", share(c("t_n"), c("t_bad"), root_n, root)).withColumn("t_from", F.when(c("t_n") > 0, c("t_n")).otherwise(root_n))
-    at = at.withColumn("h_share", share(c("h_n"), c("h_bad"), c("t_from"), c("t_share"))).withColumn("h_from", F.when(c("h_n") > 0, c("h_n")).otherwise(c("t_from")))
-    at = at.withColumn("ht_share", share(c("ht_n"), c("ht_bad"), c("h_from"), c("h_share"))).withColumn("ht_from", F.when(c("ht_n") > 0, c("ht_n")).otherwise(c("h_from")))
-    at = at.withColumn("share", share(c("f_n"), c("f_bad"), c("ht_from"), c("ht_share")))
-    found = salted(each, at.select("host", "shape", "template", "share"), ["host", "shape"], ["page_id", "path"])
+    each = pages.select("page_id", host(c("url")).alias("host"), path(c("url")).alias("path")).withColumn("rule", ruled(c("host"), c("path"), rules))
+    blocking = [r.rule for r in rules if r.verdict == "block"]
+    blocked = c("rule").isin(blocking) if blocking else F.lit(False)
+    counted = each.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("rule").cast("double").alias("known"), F.count(F.when(blocked, 1)).cast("double").alias("bad"))
+    classes = checkpoint(counted)
+    total, n, known, bad = (x or 0 for x in classes.agg(F.count("*"), F.sum("n"), F.sum("known"), F.sum("bad")).first())
+    every = classes.groupBy("path").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    both = classes.withColumn("classes", F.lit(1).cast("long")).unionByName(every.withColumn("host", F.lit(ALL)))
+    hosts = both.groupBy("host").agg(F.count("*").alias("rows"), F.sum("known").alias("above"), F.sum("bad").alias("host_bad"))
+    share = (c("host_bad") + PRIOR * (bad / known if known else 0.0)) / (c("above") + PRIOR)
+    tree = salted(both, hosts, ["host"], ["path"], total).select(
+        "host", "path", "classes", "n", "known", "bad", F.slice(F.split("path", "/", levels + 1), 2, levels).alias("segments"),
+        F.lit("").alias("branch"), F.lit("").alias("template"), share.alias("share"), "above",
+    )
+    for level in range(levels):
+        tree = checkpoint(grow(tree, level, total))
+    general = tree.where(c("host") == ALL).select("path", c("classes").alias("rows"), c("share").alias("general"))
+    judged = salted(tree.where(c("host") != ALL), general, ["path"], ["host"], total)
+    judged = judged.select("host", "path", c("n").alias("rows"), "template", F.when(c("above") > 0, c("share")).otherwise(c("general")).alias("share"))
+    found = salted(each, judged, ["host", "path"], ["page_id"], n)
     verdict = F.when(c("rule").isNotNull(), F.when(blocked, "block").otherwise("allow")).when(c("share") > 0.5, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", "template", "share", verdict.alias("verdict"))
 
@@ -133,7 +169,29 @@ def digest(pages: DataFrame) -> DataFrame:
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-SQL = r"""
+def level_sql(i: int) -> str:
+    """The parts of the SQL twin that take the tree from level ``i - 1`` to ``i``."""
+    segment = f"segments[{i + 1}]" if i < LEVELS else f"CASE WHEN len(segments) > {i} THEN array_to_string(segments[{i + 1}:], '/') END"
+    return f"""
+a{i} AS (SELECT *, {segment} AS segment FROM t{i - 1}),
+w{i} AS (SELECT host, branch FROM (SELECT host, branch, segment, sum(n) AS n FROM a{i} WHERE branch IS NOT NULL AND segment IS NOT NULL GROUP BY ALL)
+  GROUP BY ALL HAVING count(*) >= {DIFFERENT} AND sum(n) < count(*) * {PAGES_EACH}),
+e{i} AS (SELECT a.*, CASE WHEN segment IS NOT NULL THEN CASE WHEN w.host IS NOT NULL THEN '*' ELSE segment END END AS piece
+  FROM a{i} a LEFT JOIN w{i} w ON a.host = w.host AND a.branch = w.branch),
+g{i} AS (SELECT host, branch, piece, sum(known) AS k, sum(bad) AS b FROM e{i} WHERE branch IS NOT NULL AND piece IS NOT NULL GROUP BY ALL),
+l{i} AS (SELECT host, branch, b / k AS s, sum(k) AS k, sum(b) AS b FROM g{i} WHERE k > 0 GROUP BY host, branch, b / k),
+d{i} AS (SELECT *, lag(k) OVER o AS k2, lag(b) OVER o AS b2 FROM l{i} WINDOW o AS (PARTITION BY host, branch ORDER BY s)),
+c{i} AS (SELECT host, branch, s, k, b, sum(CASE WHEN power(b / k - b2 / k2, 2) > {DEVIATES} * {DEVIATES} * ((b + b2) / (k + k2)) * (1 - (b + b2) / (k + k2)) * (1 / k + 1 / k2) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY host, branch ORDER BY s ROWS UNBOUNDED PRECEDING) AS m FROM d{i}),
+m{i} AS (SELECT host, branch, s, m, sum(k) OVER o AS k, sum(b) OVER o AS b FROM c{i} WINDOW o AS (PARTITION BY host, branch, m)),
+t{i} AS (SELECT e.host, e.path, e.n, e.known, e.bad, e.segments,
+  CASE WHEN e.piece IS NOT NULL THEN e.branch || '/' || coalesce(CAST(CAST(m.m AS BIGINT) AS VARCHAR), '-') END AS branch,
+  CASE WHEN m.k IS NOT NULL AND m.k <> e.above THEN (m.b + {PRIOR} * e.share) / (m.k + {PRIOR}) ELSE e.share END AS share, coalesce(m.k, e.above) AS above
+  FROM e{i} e LEFT JOIN g{i} g ON e.host = g.host AND e.branch = g.branch AND e.piece = g.piece
+  LEFT JOIN m{i} m ON g.host = m.host AND g.branch = m.branch AND g.k > 0 AND g.b / g.k = m.s),"""
+
+
+SQL = rf"""
 WITH each AS (
   SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages)),
@@ -141,33 +199,13 @@ rules(rule, rh, rp, v) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/e
   ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
         FROM each JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-p AS (SELECT e.page_id, host, path, rule, v, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM each e LEFT JOIN fit ON e.page_id = fit.page_id),
-classes AS (SELECT host, shape, count(*) AS n, count(rule) AS known, count(CASE WHEN v = 'block' THEN 1 END) AS bad FROM p GROUP BY ALL),
-nodes AS (SELECT host, shape, n, i - 1 AS place, s[i] AS segment, coalesce(array_to_string(s[1:i - 1], '/'), '') AS parent
-          FROM (SELECT host, shape, n, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT *, string_split(shape, '/') AS s FROM classes))),
-children AS (SELECT host, parent, place, segment, sum(n) AS n FROM nodes GROUP BY ALL),
-wild AS (SELECT host, parent, place FROM children GROUP BY ALL HAVING count(*) >= 8 AND sum(n) < count(*) * 4),
-tree AS (SELECT k.host, k.shape, k.known, k.bad, coalesce(list(CASE WHEN wild.place IS NOT NULL THEN '*' ELSE segment END ORDER BY nodes.place)[2], '') AS top,
-                array_to_string(list(CASE WHEN wild.place IS NOT NULL THEN '*' ELSE segment END ORDER BY nodes.place), '/') AS template
-         FROM classes k JOIN nodes ON k.host = nodes.host AND k.shape = nodes.shape
-         LEFT JOIN wild ON nodes.host = wild.host AND nodes.parent = wild.parent AND nodes.place = wild.place GROUP BY k.host, k.shape, k.known, k.bad),
-r AS (SELECT CAST(sum(known) AS DOUBLE) AS n, CASE WHEN sum(known) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(known) ELSE 0 END AS s FROM tree),
-b1 AS (SELECT top, CAST(sum(known) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM tree GROUP BY ALL),
-b2 AS (SELECT host, CAST(sum(known) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM tree GROUP BY ALL),
-b3 AS (SELECT host, top, CAST(sum(known) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM tree GROUP BY ALL),
-b4 AS (SELECT host, top, template, CAST(sum(known) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM tree GROUP BY ALL),
-s1 AS (SELECT tree.*, CASE WHEN b1.n > 0 THEN b1.n ELSE r.n END AS fn,
-         CASE WHEN b1.n > 0 AND r.n > 0 AND power(b1.b / b1.n - r.s, 2) > 1.96 * 1.96 * ((b1.b + r.s * r.n) / (b1.n + r.n)) * (1 - (b1.b + r.s * r.n) / (b1.n + r.n)) * (1 / b1.n + 1 / r.n)
-              THEN (b1.b + 4.0 * r.s) / (b1.n + 4.0) ELSE r.s END AS sh FROM tree JOIN b1 USING (top), r),
-s2 AS (SELECT s1.* EXCLUDE (fn, sh), CASE WHEN b.n > 0 THEN b.n ELSE fn END AS fn,
-         CASE WHEN b.n > 0 AND fn > 0 AND power(b.b / b.n - sh, 2) > 1.96 * 1.96 * ((b.b + sh * fn) / (b.n + fn)) * (1 - (b.b + sh * fn) / (b.n + fn)) * (1 / b.n + 1 / fn)
-              THEN (b.b + 4.0 * sh) / (b.n + 4.0) ELSE sh END AS sh FROM s1 JOIN b2 b USING (host)),
-s3 AS (SELECT s2.* EXCLUDE (fn, sh), CASE WHEN b.n > 0 THEN b.n ELSE fn END AS fn,
-         CASE WHEN b.n > 0 AND fn > 0 AND power(b.b / b.n - sh, 2) > 1.96 * 1.96 * ((b.b + sh * fn) / (b.n + fn)) * (1 - (b.b + sh * fn) / (b.n + fn)) * (1 / b.n + 1 / fn)
-              THEN (b.b + 4.0 * sh) / (b.n + 4.0) ELSE sh END AS sh FROM s2 JOIN b3 b USING (host, top)),
-s4 AS (SELECT s3.* EXCLUDE (fn, sh),
-         CASE WHEN b.n > 0 AND fn > 0 AND power(b.b / b.n - sh, 2) > 1.96 * 1.96 * ((b.b + sh * fn) / (b.n + fn)) * (1 - (b.b + sh * fn) / (b.n + fn)) * (1 / b.n + 1 / fn)
-              THEN (b.b + 4.0 * sh) / (b.n + 4.0) ELSE sh END AS sh FROM s3 JOIN b4 b USING (host, top, template))
-SELECT page_id, p.host, path, rule, CASE WHEN rule IS NOT NULL THEN v WHEN s4.sh > 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM p JOIN s4 ON p.host = s4.host AND p.shape = s4.shape
+p AS (SELECT e.page_id, host, path, rule, v FROM each e LEFT JOIN fit ON e.page_id = fit.page_id),
+classes AS (SELECT host, path, count(*) AS n, CAST(count(rule) AS DOUBLE) AS known, CAST(count(CASE WHEN v = 'block' THEN 1 END) AS DOUBLE) AS bad FROM p GROUP BY ALL),
+r AS (SELECT CASE WHEN sum(known) > 0 THEN sum(bad) / sum(known) ELSE 0.0 END AS s FROM classes),
+trees AS (SELECT * FROM classes UNION ALL SELECT '{ALL}', path, sum(n), sum(known), sum(bad) FROM classes GROUP BY path),
+h AS (SELECT host, sum(known) AS above, (sum(bad) + {PRIOR} * (SELECT s FROM r)) / (sum(known) + {PRIOR}) AS share FROM trees GROUP BY host),
+t0 AS (SELECT host, path, n, known, bad, string_split(path, '/') AS segments, '' AS branch, share, above FROM trees JOIN h USING (host)),{"".join(level_sql(i) for i in range(1, LEVELS + 1))}
+verdicts AS (SELECT t.host, t.path, CASE WHEN t.above > 0 THEN t.share ELSE g.share END AS share FROM t{LEVELS} t JOIN t{LEVELS} g ON g.host = '{ALL}' AND g.path = t.path)
+SELECT page_id, p.host, p.path, rule, CASE WHEN rule IS NOT NULL THEN v WHEN share > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM p JOIN verdicts t ON p.host = t.host AND p.path = t.path
 """

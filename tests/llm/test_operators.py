@@ -248,6 +248,78 @@ def test_urls_learn_templates(spark):
     assert {(r["template"], r["verdict"]) for r in got} == {("/es/*", "block"), ("/de/*", "allow")}
 
 
+def tree_by_loops(pages, levels=urls.LEVELS):
+    """Verdicts of a tree grown by recursion: ``pages`` are (host, path, labelled, blocked)."""
+    known, bad = sum(k for *_, k, _ in pages), sum(b for *_, b in pages)
+    overall = bad / known if known else 0.0
+    parts = lambda path: path.split("/", levels)[1:]
+    out = {}
+
+    def grow(rows, at, share, above, tree):
+        for r in rows:
+            if len(parts(r[1])) <= at:
+                out[tree, r[1]] = share
+        rows = [r for r in rows if len(parts(r[1])) > at]
+        count = {}
+        for r in rows:
+            count[parts(r[1])[at]] = count.get(parts(r[1])[at], 0) + 1
+        wild = len(count) >= urls.DIFFERENT and len(rows) < len(count) * urls.PAGES_EACH
+        pieces = {}
+        for r in rows:
+            pieces.setdefault("*" if wild else parts(r[1])[at], []).append(r)
+        rates = {}
+        for of in pieces.values():
+            k, b = sum(r[2] for r in of), sum(r[3] for r in of)
+            rates.setdefault(b / k if k else None, []).append((of, k, b))
+        branches, last = [], None
+        for rate in sorted(x for x in rates if x is not None):
+            k, b = sum(x[1] for x in rates[rate]), sum(x[2] for x in rates[rate])
+            pooled = (b + last[1]) / (k + last[0]) if last else 0
+            if last is None or (b / k - last[1] / last[0]) ** 2 > urls.DEVIATES**2 * pooled * (1 - pooled) * (1 / k + 1 / last[0]):
+                branches.append([[], 0, 0])
+            branches[-1] = [branches[-1][0] + [r for x in rates[rate] for r in x[0]], branches[-1][1] + k, branches[-1][2] + b]
+            last = k, b
+        for of, k, b in branches + [[[r for x in rates.get(None, []) for r in x[0]], 0, 0]]:
+            if of:
+                own = k and k != above
+                grow(of, at + 1, (b + urls.PRIOR * share) / (k + urls.PRIOR) if own else share, k or above, tree)
+
+    for tree in {r[0] for r in pages} | {urls.ALL}:
+        rows = [r for r in pages if tree in (r[0], urls.ALL)]
+        k, b = sum(r[2] for r in rows), sum(r[3] for r in rows)
+        grow(rows, 0, (b + urls.PRIOR * overall) / (k + urls.PRIOR), k, tree)
+    labelled = {h for h, _, k, _ in pages if k}
+    return {(h, p): out[h if h in labelled else urls.ALL, p] for h, p, *_ in pages}
+
+
+def test_urls_against_loops(spark):
+    draw = np.random.default_rng(5)
+    hosts = ["a.net", "b.net", "shop.com", "www.example.com", "x.example.com", "c.org", "d.org"]
+    word = lambda: str(draw.choice(["es", "en", "fr", "de", "es/tag", "", "p", str(draw.integers(40))]))
+    made = [f"http://{draw.choice(hosts)}/" + "/".join(word() for _ in range(draw.integers(0, 6))) for _ in range(1500)] + ["http://a.net", "no url"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()
+    assert len(got) == len(made)
+    block = {"example.com/en/", "net/es/", "net/fr/"}
+    want = tree_by_loops([(r["host"], r["path"], int(r["rule"] is not None), int(r["rule"] in block)) for r in got])
+    assert len({round(x, 6) for x in want.values()}) > 10 and {x > 0.5 for x in want.values()} == {True, False}
+    for r in got:
+        assert abs(r["share"] - want[r["host"], r["path"]]) < 1e-9, r
+        assert r["verdict"] == ("block" if (r["rule"] in block if r["rule"] else r["share"] > 0.5) else "allow")
+
+
+def test_urls_merge_similar_siblings(spark):
+    # the rules reach es and fr of the same host: they form one branch, the segments of which are pooled
+    rows = [(k, f"http://h.net/{('es', 'fr')[k % 2]}/{k // 5 + k % 2 * 5}") for k in range(50)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r["verdict"] for r in got} == {"block"} and len({r["share"] for r in got}) == 1
+
+
+def test_urls_of_any_length(spark):
+    rows = [(1, "http://h.net/" + "a/" * 500_000 + "?q"), (2, "http://h.net/es/" + "9" * 1_000_000), (3, "http://" + "h" * 100_000 + "/x")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got[1]["template"]) == len(got[1]["path"]) == 1_000_001 and got[2]["rule"] == "net/es/" and got[3]["verdict"] == "block"
+
+
 # ---- decontamination
 
 
