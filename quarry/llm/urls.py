@@ -15,8 +15,9 @@ longer path is its last segment, whole, so that a path of any length is read onc
 
 All statistics are made of classes (host, path), counted before anything is shuffled by host. Branches have short
 names, not paths. Lineage is cut after each level. The window that merges a place's segments orders its different
-shares, not its segments: fractions whose denominators sum to no more than the labelled pages. Joins salt the keys
-that hold over a thousandth of the rows, of which there are a thousand at most.
+shares, not its segments: fractions whose denominators sum to no more than the labelled pages. Joins of classes
+are followed by a copy and nothing else, so that adaptive execution may split hot keys; the join with the pages salts
+the keys that hold over a thousandth of them, of which there are a thousand at most.
 
 Where a host has no labelled page, its paths are judged in a further tree, grown alike from the pages of all hosts.
 
@@ -103,36 +104,35 @@ def differ(n: Column, bad: Column, n2: Column, bad2: Column) -> Column:
     return F.pow(bad / n - bad2 / n2, F.lit(2.0)) > DEVIATES * DEVIATES * pooled * (1 - pooled) * (F.lit(1.0) / n + F.lit(1.0) / n2)
 
 
-def merged(pieces: DataFrame) -> DataFrame:
-    """(host, branch, at_share, rows, merge, merge_n, merge_bad): which shares of a place's segments go together."""
-    at_share = (F.col("bad") / F.col("known")).alias("at_share")
-    shares = pieces.where("known > 0").groupBy("host", "branch", at_share).agg(F.count("*").alias("rows"), F.sum("known").alias("k"), F.sum("bad").alias("b"))
+def merged(children: DataFrame) -> DataFrame:
+    """(host, branch, at_share, wild, merge, merge_n, merge_bad): what becomes of a place's segments of each share."""
+    c = F.col
+    shares = children.groupBy("host", "branch", "at_share").agg(F.count("*").alias("different"), F.sum("n").alias("n"), F.sum("known").alias("k"), F.sum("bad").alias("b"))
     place = Window.partitionBy("host", "branch")
-    before = place.orderBy("at_share")
-    new = F.coalesce(differ(F.col("k"), F.col("b"), F.lag("k").over(before), F.lag("b").over(before)), F.lit(False))
-    numbered = shares.withColumn("new", new.cast("int")).withColumn("merge", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    branch = Window.partitionBy("host", "branch", "merge")
-    return numbered.select("host", "branch", "at_share", "rows", "merge", F.sum("k").over(branch).alias("merge_n"), F.sum("b").over(branch).alias("merge_bad"))
-
-
-def grow(tree: DataFrame, level: int, total: int) -> DataFrame:
+    before, labelled = place.orderBy("at_share"), F.when(c("k") > 0, c("k"))
+    new = F.coalesce(differ(labelled, c("b"), F.lag(labelled).over(before), F.lag("b").over(before)), F.lit(False))
+    wild = (F.sum("different").over(place) >= DIFFERENT) & (F.sum("n").over(place) < F.sum("different").over(place) * PAGES_EACH)
+    seen = shares.select("*", wild.alias("wild"), new.cast("int").alias("new"))
+    run = F.when(c("wild"), 0).otherwise(F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    branch = Window.partitionBy("host", "branch", "run")
+    joined = seen.withColumn("run", run).withColumn("run_n", F.sum("k").over(branch)).withColumn("run_bad", F.sum("b").over(branch))
+    own = (c("wild") | (c("k") > 0)) & (c("run_n") > 0)
+    return joined.select("host", "branch", "at_share", "wild", *(F.when(own, c(x)).alias(y) for x, y in (("run", "merge"), ("run_n", "merge_n"), ("run_bad", "merge_bad"))))
+
+
+def grow(tree: DataFrame, level: int) -> DataFrame:
     """One level more: each class's segment, or a wildcard, its branch, and that branch's share."""
     c, place = F.col, ["host", "branch"]
     at = tree.withColumn("segment", F.get("segments", F.lit(level)))
-    children = at.where("branch IS NOT NULL AND segment IS NOT NULL").groupBy(*place, "segment").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    places = children.groupBy(*place).agg(F.count("*").alias("different"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    wild = places.where((c("different") >= DIFFERENT) & (c("n") < c("different") * PAGES_EACH)).select(*place, "rows", F.lit(True).alias("wild"))
-    piece = F.when(c("segment").isNotNull(), F.when(c("wild"), "*").otherwise(c("segment")))
-    seen = salted(at, wild, place, ["path"], total).withColumn("piece", piece)
-    pieces = seen.where("branch IS NOT NULL AND piece IS NOT NULL").groupBy(*place, "piece").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.count("*").alias("of_piece"))
-    pieces = pieces.withColumn("at_share", F.try_divide("bad", "known"))
-    joined = salted(pieces, merged(pieces), [*place, "at_share"], ["piece"], total)
-    found = salted(seen, joined.select(*place, "piece", c("of_piece").alias("rows"), "merge", "merge_n", "merge_bad"), [*place, "piece"], ["path"], total)
+    children = at.where("branch IS NOT NULL AND segment IS NOT NULL").groupBy(*place, "segment").agg(*(F.sum(x).alias(x) for x in ("n", "known", "bad")))
+    children = children.withColumn("at_share", F.coalesce(F.try_divide("bad", "known"), F.lit(-1.0)))
+    branches = children.join(merged(children), [*place, "at_share"]).select(*place, "segment", "wild", "merge", "merge_n", "merge_bad")
+    found = at.join(branches, [*place, "segment"], "left")
     own = c("merge_n").isNotNull() & (c("merge_n") != c("above"))
     return found.select(
-        "host", "path", "classes", "n", "known", "bad", "segments",
-        F.when(c("piece").isNotNull(), F.concat("branch", F.lit("/"), F.coalesce(c("merge").cast("string"), F.lit("-")))).alias("branch"),
-        F.when(c("piece").isNotNull(), F.concat("template", F.lit("/"), c("piece"))).otherwise(c("template")).alias("template"),
+        "host", "path", "n", "known", "bad", "segments",
+        F.when(c("segment").isNotNull(), F.concat("branch", F.lit("/"), F.coalesce(c("merge").cast("string"), F.lit("-")))).alias("branch"),
+        F.when(c("segment").isNotNull(), F.concat("template", F.lit("/"), F.when(c("wild"), "*").otherwise(c("segment")))).otherwise(c("template")).alias("template"),
         F.when(own, (c("merge_bad") + PRIOR * c("share")) / (c("merge_n") + PRIOR)).otherwise(c("share")).alias("share"),
         F.coalesce("merge_n", "above").alias("above"),
     )
@@ -146,20 +146,21 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, levels: int = LEVEL
     blocked = c("rule").isin(blocking) if blocking else F.lit(False)
     counted = each.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("rule").cast("double").alias("known"), F.count(F.when(blocked, 1)).cast("double").alias("bad"))
     classes = checkpoint(counted)
-    total, n, known, bad = (x or 0 for x in classes.agg(F.count("*"), F.sum("n"), F.sum("known"), F.sum("bad")).first())
-    every = classes.groupBy("path").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    both = classes.withColumn("classes", F.lit(1).cast("long")).unionByName(every.withColumn("host", F.lit(ALL)))
-    hosts = both.groupBy("host").agg(F.count("*").alias("rows"), F.sum("known").alias("above"), F.sum("bad").alias("host_bad"))
+    n, known, bad = (x or 0 for x in classes.agg(F.sum("n"), F.sum("known"), F.sum("bad")).first())
+    every = classes.groupBy("path").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    both = classes.unionByName(every.withColumn("host", F.lit(ALL)))
+    hosts = both.groupBy("host").agg(F.sum("known").alias("above"), F.sum("bad").alias("host_bad"))
     share = (c("host_bad") + PRIOR * (bad / known if known else 0.0)) / (c("above") + PRIOR)
-    tree = salted(both, hosts, ["host"], ["path"], total).select(
-        "host", "path", "classes", "n", "known", "bad", F.slice(F.split("path", "/", levels + 1), 2, levels).alias("segments"),
+    tree = both.join(hosts, "host").select(
+        "host", "path", "n", "known", "bad", F.slice(F.split("path", "/", levels + 1), 2, levels).alias("segments"),
         F.lit("").alias("branch"), F.lit("").alias("template"), share.alias("share"), "above",
     )
+    tree = checkpoint(tree)
     for level in range(levels):
-        tree = checkpoint(grow(tree, level, total))
-    general = tree.where(c("host") == ALL).select("path", c("classes").alias("rows"), c("share").alias("general"))
-    judged = salted(tree.where(c("host") != ALL), general, ["path"], ["host"], total)
-    judged = judged.select("host", "path", c("n").alias("rows"), "template", F.when(c("above") > 0, c("share")).otherwise(c("general")).alias("share"))
+        tree = checkpoint(grow(tree, level))
+    general = tree.where(c("host") == ALL).select("path", c("share").alias("general"))
+    judged = tree.where(c("host") != ALL).join(general, "path")
+    judged = checkpoint(judged.select("host", "path", c("n").alias("rows"), "template", F.when(c("above") > 0, c("share")).otherwise(c("general")).alias("share")))
     found = salted(each, judged, ["host", "path"], ["page_id"], n)
     verdict = F.when(c("rule").isNotNull(), F.when(blocked, "block").otherwise("allow")).when(c("share") > 0.5, "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", "template", "share", verdict.alias("verdict"))
