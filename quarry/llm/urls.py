@@ -15,9 +15,9 @@ longer path is its last segment, whole, so that a path of any length is read onc
 
 All statistics are made of classes (host, path), counted before anything is shuffled by host. Branches have short
 names, not paths. Lineage is cut after each level. The window that merges a place's segments orders its different
-shares, not its segments: fractions whose denominators sum to no more than the labelled pages. Joins of classes
-are followed by a copy and nothing else, so that adaptive execution may split hot keys; the join with the pages salts
-the keys that hold over a thousandth of them, of which there are a thousand at most.
+shares, not its segments: fractions whose denominators sum to no more than the labelled pages. Joins by host
+and with the pages salt the keys that hold over a thousandth of the rows, which are so few that they are broadcast;
+joins by branch are followed by a copy and nothing else, so that adaptive execution may split hot keys.
 
 Where a host has no labelled page, its paths are judged in a further tree, grown alike from the pages of all hosts.
 
@@ -87,7 +87,7 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]
     """Left join on keys of which one may hold a large part of ``left``.
 
     ``right`` has each key once, and in ``rows`` how many rows of ``left`` hold it. Only keys that hold more than
-    ``HOT`` of ``total`` are repeated for each salt; as they are at most 1 / HOT, ``left`` learns them by a broadcast.
+    ``HOT`` of ``total`` are repeated for each salt; as they are few, 2 / HOT at most, ``left`` learns them by a broadcast.
     The salt is a hash of the row's ``spread`` columns, so that a task that runs again deals its rows alike.
     """
     hot = F.col("rows") > total * HOT
@@ -146,12 +146,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, levels: int = LEVEL
     blocked = c("rule").isin(blocking) if blocking else F.lit(False)
     counted = each.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("rule").cast("double").alias("known"), F.count(F.when(blocked, 1)).cast("double").alias("bad"))
     classes = checkpoint(counted)
-    n, known, bad = (x or 0 for x in classes.agg(F.sum("n"), F.sum("known"), F.sum("bad")).first())
+    total, n, known, bad = (x or 0 for x in classes.agg(F.count("*"), F.sum("n"), F.sum("known"), F.sum("bad")).first())
     every = classes.groupBy("path").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     both = classes.unionByName(every.withColumn("host", F.lit(ALL)))
-    hosts = both.groupBy("host").agg(F.sum("known").alias("above"), F.sum("bad").alias("host_bad"))
+    hosts = both.groupBy("host").agg(F.count("*").alias("rows"), F.sum("known").alias("above"), F.sum("bad").alias("host_bad"))
     share = (c("host_bad") + PRIOR * (bad / known if known else 0.0)) / (c("above") + PRIOR)
-    tree = both.join(hosts, "host").select(
+    tree = salted(both, hosts, ["host"], ["path"], total).select(
         "host", "path", "n", "known", "bad", F.slice(F.split("path", "/", levels + 1), 2, levels).alias("segments"),
         F.lit("").alias("branch"), F.lit("").alias("template"), share.alias("share"), "above",
     )
