@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.functions import vocabulary as V
-from quarry.operators import evidence, fusion, integrity, mining, rules, signals
+from quarry.operators import evidence, fusion, integrity, mining, retrieval, rules, signals
 from quarry.operators import pool as pools
-from quarry.plans.catalog import FUSED, FUSION_SCORE, HITS, LONG, PAIRS, POOL, RANKED, TOGETHER, bm25_sql, bm25_top, hits, long_ranks, pairs, pool, query, ranked_hits, table
-from quarry.sources import files
+from quarry.plans.catalog import DOC_TERMS, FUSED, FUSION_SCORE, HITS, LONG, PAIRS, POOL, RANKED, TOGETHER, bm25_sql, bm25_top, documents, hits, long_ranks, pairs, pool, query, ranked_hits, table
+from quarry.sources import files, index
 
 # ---- retrieval functions in their other variants
 
@@ -317,3 +317,16 @@ def order_problems(spark, sf):
     two = rows.where("l_quantity > 5").withColumn("rank", F.col("context_id"))
     ledger = signals.channel(one, "a", "rank", None, "rank").unionByName(signals.channel(two, "b", "rank", None, "rank"))
     return signals.order_problems(ledger, rows, ["a", "b"])
+
+
+# ---- the term index
+
+
+@query(f"""WITH d AS ({DOC_TERMS}), t AS (SELECT term, count(DISTINCT doc_id) AS df FROM d GROUP BY term)
+SELECT 'chunks' AS name, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'tokens', CAST(count(*) AS DOUBLE) FROM d
+UNION ALL SELECT 'average', round(CAST((SELECT count(*) FROM d) AS DOUBLE) / (SELECT count(*) FROM documents), 9)
+UNION ALL SELECT 'terms', CAST(count(*) AS DOUBLE) FROM t UNION ALL SELECT 'postings', CAST(sum(df) AS DOUBLE) FROM t""")
+def index_figures(spark, sf):
+    docs = documents(spark, sf)
+    terms = retrieval.term_statistics(retrieval.term_frequencies(docs, "doc_id"))
+    return index.figures(docs, terms).withColumn("value", F.round("value", 9))
