@@ -65,6 +65,30 @@ def resolve(pairs: DataFrame, asked: DataFrame, chunks: DataFrame, policy: Polic
     return once.withColumn("position", place).where(F.col("position") <= policy.chunks).select(*PAIR, "chunk_id", "text", F.when(F.col("kind") == 0, "asked").otherwise("fallback").alias("reason"), "position")
 
 
+def records(resolved: DataFrame, hits: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Resolved evidence with its view, the hash of its text, and ``attributions``: who asked for the chunk, never empty.
+
+    Under ``sources`` each different (source, rank, score) of the chunk, by rank (none last), then by the policy's order
+    of sources, then by name. Under ``discovery`` the one score that ordered it, without a source. A fallback, which
+    nobody asked for, has one attribution of nulls.
+    """
+    c = F.col
+    kind = "struct<source:string,source_rank:int,source_raw_score:double>"
+    nobody = F.struct(F.lit(None).alias("source"), F.lit(None).alias("source_rank"), F.lit(None).alias("source_raw_score")).cast(kind)
+    if policy.mode == "discovery":
+        best = hits.groupBy(*PAIR, "chunk_id").agg(F.max_by("raw_score", F.struct((-c("source_rank")).alias("r"), "raw_score")).alias("raw_score"))
+        asked = best.select(*PAIR, "chunk_id", F.array(F.struct(F.lit(None).alias("source"), F.lit(None).alias("source_rank"), c("raw_score").alias("source_raw_score")).cast(kind)).alias("found"))
+    else:
+        turn = F.coalesce(*(F.when(c("source") == s, F.lit(n)) for n, s in enumerate(policy.sources)), F.lit(len(policy.sources)))
+        one = F.struct(c("source_rank").isNull().alias("unranked"), c("source_rank").alias("r"), turn.alias("turn"), c("source"), c("source_rank"), c("raw_score").alias("source_raw_score"))
+        every = hits.groupBy(*PAIR, "chunk_id").agg(F.array_sort(F.collect_set(one)).alias("found"))
+        asked = every.withColumn("found", F.transform("found", lambda x: F.struct(x["source"].alias("source"), x["source_rank"].alias("source_rank"), x["source_raw_score"].alias("source_raw_score")).cast(kind)))
+    who = F.when(c("reason") == "asked", F.coalesce("found", F.array(nobody))).otherwise(F.array(nobody))
+    return resolved.join(asked, [*PAIR, "chunk_id"], "left").select(
+        *PAIR, "chunk_id", view_of(c("chunk_id")).alias("view"), "text", F.sha2("text", 256).alias("text_sha256"), who.alias("attributions"), "reason", "position"
+    )
+
+
 def by_length(evidence: DataFrame, questions: DataFrame) -> DataFrame:
     """Sorted within partitions by length, so that a scorer's batches are alike."""
     rows = evidence.join(questions, "query_id").withColumn("length", F.length("question") + F.length("text"))

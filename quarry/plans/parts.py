@@ -330,3 +330,18 @@ def index_figures(spark, sf):
     docs = documents(spark, sf)
     terms = retrieval.term_statistics(retrieval.term_frequencies(docs, "doc_id"))
     return index.figures(docs, terms).withColumn("value", F.round("value", 9))
+
+
+@query(f"""WITH t AS ({bm25_sql('lucene')})
+SELECT query_id, context_id, sha256(text) AS text_sha256, CASE WHEN rank <= 6 - rank THEN 'bm25:' || rank || ',late:' || (6 - rank) ELSE 'late:' || (6 - rank) || ',bm25:' || rank END AS attributions
+FROM t JOIN documents ON doc_id = context_id""")
+def evidence_records(spark, sf):
+    top = bm25_top(spark, sf, "lucene")
+    chunk_id = F.concat(F.lit("ctx"), F.col("context_id").cast("string"), F.lit("__p00000"))
+    chunks = documents(spark, sf).select(F.col("doc_id").alias("context_id"), "text").withColumn("chunk_id", chunk_id)
+    one = top.select("query_id", "context_id", chunk_id.alias("chunk_id"), F.explode(F.array(F.struct(F.lit("bm25").alias("s"), F.col("rank").alias("r")), F.struct(F.lit("late").alias("s"), (6 - F.col("rank")).alias("r")))).alias("h"), F.col("score").alias("raw_score"))
+    hits = one.select("query_id", "context_id", "chunk_id", F.col("h.s").alias("source"), F.col("h.r").cast("int").alias("source_rank"), "raw_score")
+    policy = evidence.Policy("sources", sources=("bm25", "late"))
+    found = evidence.records(evidence.resolve(top, evidence.requests(hits, policy), chunks, policy), hits, policy)
+    named = F.array_join(F.transform("attributions", lambda x: F.concat(x["source"], F.lit(":"), x["source_rank"].cast("string"))), ",")
+    return found.select("query_id", "context_id", "text_sha256", named.alias("attributions"))

@@ -142,3 +142,15 @@ def test_streaming_ingest(spark, tmp_path):
     follow(stream, str(tmp_path / "terms"), str(tmp_path / "state")).awaitTermination()
     found = {(r["term"], r["tf"]) for r in spark.read.parquet(str(tmp_path / "terms")).collect()}
     assert found == {("u¦a", 4), ("u¦b", 2)}  # text without tags is metadata and, for want of one, body
+
+
+def test_attributions_of_evidence(spark):
+    hits = spark.createDataFrame([("q", "1", "ctx1__p00000", s, r, v) for s, r, v in (("b", 2, 0.5), ("a", 2, 0.4), ("a", 2, 0.4), ("z", None, None), ("c", 1, 9.0))], "query_id string, context_id string, chunk_id string, source string, source_rank int, raw_score double")
+    kept = spark.createDataFrame([("q", "1", "ctx1__p00000", "x", "asked", 1), ("q", "1", "ctx1__metadata", "y", "fallback", 2)], "query_id string, context_id string, chunk_id string, text string, reason string, position int")
+    policy = evidence.Policy("sources", sources=("b", "a"))
+    got = {r["reason"]: r for r in evidence.records(kept, hits, policy).collect()}
+    assert [tuple(x) for x in got["asked"]["attributions"]] == [("c", 1, 9.0), ("b", 2, 0.5), ("a", 2, 0.4), ("z", None, None)]
+    assert [tuple(x) for x in got["fallback"]["attributions"]] == [(None, None, None)] and got["fallback"]["view"] == "metadata"
+    free = {r["reason"]: r for r in evidence.records(kept, hits).collect()}
+    assert [tuple(x) for x in free["asked"]["attributions"]] == [(None, None, 9.0)]
+    assert evidence.records(kept.limit(0), hits, policy).count() == 0
