@@ -54,32 +54,40 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def bitmap(found: DataFrame) -> Column:
-    """A byte for each place that keys can fall on, 1 where one does: a literal of the same size for any number of keys."""
-    places = found.select(F.explode(F.array("key", "first")).alias("k")).select(place(F.col("k")).alias("place")).distinct()
-    out = bytearray(1 << BITMAP)
-    for row in places.collect():  # at most as many as places
-        out[row["place"]] = 1
-    return F.lit(bytes(out))
+    """A bit for each place that keys can fall on, 64 to a long, set where one does: of the same size for any number of keys.
+
+    Spark makes it and hands it to the tasks as a subquery's value. As a literal each of its uses would be spelt out in
+    every description of the plan that Spark gives its listeners.
+    """
+    keys = found.select(F.explode(F.array("key", "first")).alias("k")).select(place(F.col("k")).alias("place"))
+    own = keys.select(F.shiftrightunsigned("place", 6).cast("long").alias("id"), F.expr("shiftleft(1L, place & 63)").alias("bits"))
+    every = found.sparkSession.range(max(1, (1 << BITMAP) >> 6)).select("id", F.lit(0).cast("long").alias("bits"))
+    whole = own.unionByName(every).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    return checkpoint(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("all"))).scalar()
 
 
 def place(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - BITMAP).cast("int")
 
 
+def marked(bits: str, key: Column) -> Column:
+    return F.getbit(F.get(bits, F.shiftrightunsigned(place(key), 6)), place(key).bitwiseAND(63)) == 1
+
+
 def hits(docs: DataFrame, found: DataFrame, size: int, lengths: list[int]) -> DataFrame:
     """(doc_id, print, n, pos, size, items): a row for each verified hit, and one with pos null for each document.
 
     ``docs``: doc_id, print, w, h. ``lengths``: those under ``size`` that items have.
     """
-    bits, n = bitmap(found), F.size("h")
-    there = lambda key: F.substring(bits, place(key) + 1, F.lit(1)) == F.lit(b"\x01")
+    n = F.size("h")
 
     def of_length(k: int) -> Column:
-        whole = lambda i: there(F.xxhash64(F.slice("h", i + 1, k)))
-        at = F.filter(starts(n, k), whole if k == size else lambda i: F.when(there(F.xxhash64(F.get("h", i), F.lit(k))), whole(i)).otherwise(False))
+        whole = lambda i: marked("bits", F.xxhash64(F.slice("h", i + 1, k)))
+        at = F.filter(starts(n, k), whole if k == size else lambda i: F.when(marked("bits", F.xxhash64(F.get("h", i), F.lit(k))), whole(i)).otherwise(False))
         return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.array_join(F.slice("w", i + 1, k), " ").alias("words")))
 
     itself = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("words")))
+    docs = docs.withColumn("bits", bitmap(found))  # a column, as lambdas can't hold a subquery; no row keeps it beyond its task
     possible = docs.select("doc_id", "print", n.alias("n"), F.flatten(F.array(itself, *(of_length(k) for k in (*lengths, size)))).alias("possible"))
     rows = possible.select("doc_id", "print", "n", F.inline_outer("possible"))  # outer: or a filter on its size, made of the whole expression, would come before
     joined = rows.join(F.broadcast(found.select("text", "size", "items")), (F.col("words") == F.col("text")) & (F.col("len") == F.col("size")), "left")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import ann, blocks, bpe, chat, decontaminate, extract, fmindex, graph, near, pii, registry, simhash, substrings, toxicity, urls
 
@@ -358,6 +359,28 @@ def test_decontamination_removes(spark):
     assert decontaminate.remove(docs, bench.limit(0)).count() == 3 and decontaminate.digest(docs.limit(0), bench).count() == 0
 
 
+def test_plans_do_not_spell_out_the_bitmap(spark):
+    """The driver gives its listeners a description of the plan, again and again while it runs."""
+    docs = documents(spark, [(1, "a lone pair of words"), (2, "clean")])
+    bench = spark.createDataFrame([(1, "lone"), (2, "a pair"), (3, "pair of words"), (4, " ".join(f"w{k}" for k in range(30)))], "item_id long, text string")
+    for out in (decontaminate.remove(docs, bench), decontaminate.digest(docs, bench)):
+        assert len(out._jdf.queryExecution().toString()) < 200_000
+    assert {r["doc_id"]: r["n_items"] for r in decontaminate.digest(docs, bench).collect()} == {1: 2, 2: 0}
+
+
+def test_the_bitmap_marks_the_places_of_all_keys_alone(spark):
+    random.seed(8)
+    keys = [random.randrange(-(2**63), 2**63) for _ in range(400)] + [-1, 0, 2**63 - 1, -(2**63)]
+    found = spark.createDataFrame(list(zip(keys[::2], keys[1::2], strict=True)), "key long, first long")
+    want = {(k % 2**64) >> (64 - decontaminate.BITMAP) for k in keys}
+    bits = spark.range(1).select(decontaminate.bitmap(found).alias("bits")).first()["bits"]
+    assert len(bits) == 2**decontaminate.BITMAP // 64
+    assert {64 * at + k for at, x in enumerate(bits) for k in range(64) if x >> k & 1} == want
+    asked = spark.createDataFrame([(k,) for k in [*keys, *(random.randrange(-(2**63), 2**63) for _ in range(400))]], "k long")
+    got = asked.withColumn("bits", decontaminate.bitmap(found)).select("k", decontaminate.marked("bits", F.col("k")).alias("m")).collect()
+    assert all(r["m"] == ((r["k"] % 2**64) >> (64 - decontaminate.BITMAP) in want) for r in got)
+
+
 CLASHING = ["i", "p", "own", "at", "gone", "cut", "__i", "__p", "__id", "__hash", "print", "W", "h", "n", "pos", "size", "items", "shard", "node", "component"]
 
 
