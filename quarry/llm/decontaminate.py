@@ -71,7 +71,8 @@ def place(key: Column) -> Column:
 
 
 def marked(bits: str, key: Column) -> Column:
-    return F.getbit(F.get(bits, F.shiftrightunsigned(place(key), 6)), place(key).bitwiseAND(63)) == 1
+    """Whether a key's place is; ``exists`` over it alone has the key computed once and not for each use."""
+    return F.exists(F.array(place(key)), lambda p: F.getbit(F.get(bits, F.shiftrightunsigned(p, 6)), p.bitwiseAND(63)) == 1)
 
 
 def hits(docs: DataFrame, found: DataFrame, size: int, lengths: list[int]) -> DataFrame:
