@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import varint
-from quarry.operators import partitions, rules
+from quarry.operators import mining, partitions, rules
 
 
 def test_sets_as_bytes():
@@ -30,3 +30,14 @@ def test_reach_of_anchors_without_a_row_for_each_context(spark):
         reach = rules.together_reach(r, g)
         assert {r["query_id"]: (r["contexts"], round(r["bonus"], 9)) for r in reach.collect()} == want
     assert reach._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # the anchors meet sets, not pairs
+
+
+def test_triplets_group_each_side_by_itself(spark):
+    positives = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("a", 2, 12), ("b", 1, 13), (None, 1, 14), ("b", None, 15)], "anchor string, key int, positive long")
+    negatives = spark.createDataFrame([(1, 7), (1, 8), (2, 9), (3, 6), (None, 5)], "key int, negative long")
+    want = sorted((a or "", p, n) for a, k, p in positives.collect() for l, n in negatives.collect() if k is not None and k == l)
+    for most in (10, 1):  # broadcast or dealt
+        found = mining.triplets_by(positives, negatives, most)
+        assert sorted((r["anchor"] or "", r["positive"], r["negative"]) for r in found.collect()) == want
+        tree = found._jdf.queryExecution().optimizedPlan().toString()
+        assert tree.index("Generate") < tree.index("Join") < tree.index("Aggregate")  # nothing groups the product
