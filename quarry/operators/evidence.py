@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import order_key, view_of
+from quarry.operators.retrieval import small
 
 VIEWS = ("article", "metadata", "packed", "recovery", "short")
 PAIR = ["query_id", "context_id"]
@@ -50,7 +51,7 @@ def requests(hits: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 def fallbacks(chunks: DataFrame) -> DataFrame:
     """(context_id, view, chunk_id): the first chunk of each view."""
-    named = chunks.withColumn("view", view_of(F.col("chunk_id")))
+    named = chunks.select("context_id", "chunk_id", view_of(F.col("chunk_id")).alias("view"))
     return named.groupBy("context_id", "view").agg(F.min(order_key(F.col("chunk_id")))["id"].alias("chunk_id"))
 
 
@@ -58,8 +59,9 @@ def resolve(pairs: DataFrame, asked: DataFrame, chunks: DataFrame, policy: Polic
     """(query_id, context_id, chunk_id, text, reason, position): asked chunks in their order, then the views' first ones, without repeated texts, up to the limit."""
     wanted = asked.join(pairs.select(*PAIR), PAIR, "left_semi").select(*PAIR, "chunk_id", F.lit(0).alias("kind"), "place")
     turn = F.coalesce(*(F.when(F.col("view") == v, F.lit(n)) for n, v in enumerate(policy.views)), F.lit(None).cast("int"))
-    other = pairs.select(*PAIR).join(fallbacks(chunks), "context_id").withColumn("place", turn).where("place is not null").select(*PAIR, "chunk_id", F.lit(1).alias("kind"), "place")
-    rows = wanted.unionByName(other).join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("same", F.sha2("text", 256))
+    few = small(pairs.select("context_id").distinct())  # the corpus is read past the pairs, not shuffled to them
+    other = pairs.select(*PAIR).join(fallbacks(chunks.join(few, "context_id", "left_semi")), "context_id").withColumn("place", turn).where("place is not null").select(*PAIR, "chunk_id", F.lit(1).alias("kind"), "place")
+    rows = chunks.select("chunk_id", "text").join(small(wanted.unionByName(other)), "chunk_id").withColumn("same", F.sha2("text", 256))
     once = rows.groupBy(*PAIR, "same").agg(F.min(F.struct("kind", "place", "chunk_id", "text")).alias("f")).select(*PAIR, "f.*")
     place = F.row_number().over(Window.partitionBy(*PAIR).orderBy("kind", "place", "chunk_id"))
     return once.withColumn("position", place).where(F.col("position") <= policy.chunks).select(*PAIR, "chunk_id", "text", F.when(F.col("kind") == 0, "asked").otherwise("fallback").alias("reason"), "position")

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,6 +98,90 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, me
     return scored.groupBy(query_col, id_col).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("part")).alias("score"))
 
 
+def counted(chunks: DataFrame, terms: list[str], id_col: str) -> DataFrame:
+    """(chunk id, dl, terms, tfs): for each chunk the places of its terms in the list, ascending, and how often it has them. No shuffle."""
+    known, kind = chunks.sparkSession.sparkContext.broadcast(terms), chunks.schema[id_col].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(known.value, pa.string())
+        for batch in batches:
+            tokens = batch.column("tokens")
+            dl = tokens.value_lengths().to_numpy().astype(np.int64)
+            place = pc.index_in(tokens.flatten(), values)
+            hit = place.is_valid().to_numpy(zero_copy_only=False)
+            key, tf = np.unique(np.repeat(np.arange(len(dl)), dl)[hit] * len(values) + place.drop_null().to_numpy(), return_counts=True)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(key // max(1, len(values)), minlength=len(dl)))), pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (key % max(1, len(values)), tf))
+            yield pa.record_batch([batch.column(id_col), pa.array(dl), *lists], [id_col, "dl", "terms", "tfs"])
+
+    rows = chunks.select(id_col, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    return rows.mapInArrow(count, f"{id_col} {kind}, dl long, terms array<int>, tfs array<int>")
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, method: str = "lucene", id_col: str = "chunk_id", query_col: str = "query_id", digits: int = 6, most: int = 4_000_000) -> DataFrame:
+    """(query, chunk, score, rank): the k best of ``bm25`` for each query, by scores rounded to ``digits``, ties by the id's order.
+
+    Every chunk is scored for every query, as matrices of parts and weights of at most ``most`` numbers; a task passes on
+    only what may be among the k best of its own chunks. Terms are counted once; chunks of an id that is not unique are
+    put together by ``bm25``.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    session = chunks.sparkSession
+    asked = kept(queries.select(query_col, F.explode("tokens").alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("qtf")))
+    terms = [r[0] for r in asked.select("term").distinct().orderBy("term").collect()]
+    found = kept(counted(chunks, terms, id_col))
+    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), order_key(F.col(id_col))))
+    if found.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        scored = bm25(chunks, queries, k1, b, method, id_col, query_col).withColumn("score", F.round("score", digits))
+        return kept(scored.withColumn("rank", rank).where(F.col("rank") <= k))
+    size = found.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+    stats = found.select(F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("df"))
+    named = session.createDataFrame(list(enumerate(terms)), "place int, term string").join(stats, "place")
+    weight = asked.join(named, "term").select(query_col, "place", (F.col("qtf") * idf(F.lit(float(size["n"] or 0)), F.col("df"), method)).alias("weight"))
+    average, out = float(size["average"] or 1.0), None
+    ids = [r[0] for r in weight.select(query_col).distinct().collect()]
+    kinds = {c: x.schema[c].dataType.simpleString() for x, c in ((queries, query_col), (chunks, id_col))}
+    schema, each = f"{query_col} {kinds[query_col]}, {id_col} {kinds[id_col]}, score double", max(1, most // max(1, len(terms)))
+    blocks = -(-len(ids) // each)
+    for block in range(max(1, blocks)):
+        rows = weight.where(F.pmod(F.xxhash64(query_col), F.lit(max(1, blocks))) == block).collect()
+        own = {q: i for i, q in enumerate(dict.fromkeys(r[0] for r in rows))}
+        shared = session.sparkContext.broadcast((list(own), [own[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, n=len(terms)) -> Iterator[pa.RecordBatch]:
+            names, at, place, value = shared.value
+            w = np.zeros((n, len(names)))
+            w[place, at] = value
+            asks = np.zeros_like(w)
+            asks[place, at] = 1
+            weightless = (w[place, at] <= 0).any()
+            best = np.full((k, len(names)), -np.inf)
+            step = max(1, min(256, most // max(1, n)))
+            asked_ids = pa.array(names)
+            for batch in batches:
+                offsets, flat = batch.column("terms").offsets.to_numpy(), batch.column("terms").flatten().to_numpy()
+                offsets = offsets - offsets[0]
+                row, dl = np.repeat(np.arange(batch.num_rows), np.diff(offsets)), batch.column("dl").to_numpy()
+                part = saturation(batch.column("tfs").flatten().to_numpy().astype(float), dl[row], average, k1, b, method)
+                for begin in range(0, batch.num_rows, step):
+                    end = min(begin + step, batch.num_rows)
+                    some = slice(offsets[begin], offsets[end])
+                    a = np.zeros((end - begin, n))
+                    a[row[some] - begin, flat[some]] = part[some]
+                    scores = a @ w
+                    # where nothing weighs anything, sharing a term still counts
+                    scores[((a > 0).astype(float) @ asks if weightless else scores) <= 0] = -np.inf
+                    best = -np.partition(-np.concatenate([best, scores]), k - 1, axis=0)[:k]
+                    # rounding moves a score by half a unit of the last digit at most
+                    r, q = np.nonzero((scores >= best.min(axis=0) - 2 * 10.0**-digits) & (scores > -np.inf))
+                    yield pa.record_batch([asked_ids.take(pa.array(q)), batch.column(id_col).take(pa.array(r + begin)), pa.array(scores[r, q])], [query_col, id_col, "score"])
+
+        part = found.mapInArrow(score, schema) if rows else session.createDataFrame([], schema)
+        out = part if out is None else out.unionByName(part)
+    return kept(out.withColumn("score", F.round("score", digits)).withColumn("rank", rank).where(F.col("rank") <= k))
+
+
 def unit(vector: Column) -> Column:
     """The vector over its length; null where it is zero or holds what is no number."""
     v = vector.cast("array<double>")

@@ -1,10 +1,15 @@
 """Steps whose rows or memory used to grow faster than the tables."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import varint
-from quarry.operators import mining, partitions, rules
+from quarry.operators import mining, partitions, retrieval, rules, signals
+from quarry.plans import recipe
 
 
 def test_sets_as_bytes():
@@ -41,3 +46,37 @@ def test_triplets_group_each_side_by_itself(spark):
         assert sorted((r["anchor"] or "", r["positive"], r["negative"]) for r in found.collect()) == want
         tree = found._jdf.queryExecution().optimizedPlan().toString()
         assert tree.index("Generate") < tree.index("Join") < tree.index("Aggregate")  # nothing groups the product
+
+
+@pytest.mark.parametrize("method", retrieval.METHODS)
+def test_best_of_bm25_as_of_all_scores(spark, method):
+    words = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(40)) * F.pmod(F.xxhash64(i, "id"), F.lit(3))))
+    docs = spark.range(900).selectExpr("id % 450 as id", "id + 1000 as chunk_id").withColumn("n", (F.col("id") % 9).cast("int")).withColumn("tokens", F.when(F.col("n") > 0, words)).select("chunk_id", "tokens")
+    asked = spark.createDataFrame([("a", ["w1", "w2", "w2"]), ("b", ["w0"]), ("c", ["no"]), ("d", ["w5", "w9", "w70"])], "query_id string, tokens array<string>")
+    for rows in (docs, docs.unionByName(docs.limit(3))):  # the second: ids that repeat
+        scored = retrieval.bm25(rows, asked, method=method).withColumn("score", F.round("score", 6))
+        want = {tuple(r) for r in signals.ranked(scored.withColumnRenamed("chunk_id", "context_id")).where("rank <= 7").select("query_id", "context_id", "rank", "score").collect()}
+        for most in (4_000_000, 50):
+            found = retrieval.bm25_top_k(rows, asked, 7, method=method, most=most)
+            assert {tuple(r) for r in found.select("query_id", "chunk_id", "rank", "score").collect()} == want
+    assert retrieval.counted(docs, ["w0"], "chunk_id")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_a_judge_reads_each_chunk_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def scorer(rows):
+        def one(texts):
+            for t in texts:
+                read.add(len(t))
+                yield t.str.len().astype(float)
+
+        one.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return rows.withColumn("value", F.pandas_udf(one, "double")("text"))
+
+    pairs = spark.createDataFrame([("q", str(i), i) for i in range(1, 6)], "query_id string, context_id string, rank int")
+    rows = pairs.selectExpr("query_id", "'?' as question", "context_id", "concat('ctx', context_id, '__p00000') as chunk_id", "0 as position", "repeat('x', rank) as text")
+    plan = recipe.Cascade((recipe.Judge("a", "s"), recipe.Select("top", "a_rank", 2), recipe.Judge("b", "s", view="top")))
+    ledger = recipe.run(plan, signals.channel(pairs, "first", kind="rank", value=None, rank="rank"), pairs, rows, {"s": scorer}).ledger
+    assert ledger.count() == 5 + 3 * 5 + 3 * 2 and ledger.count() == 26
+    assert read.value == 5 + 2
