@@ -23,6 +23,8 @@ K1, B = 1.2, 0.55
 METHODS = ("lucene", "robertson", "atire", "bm25l", "bm25+")
 #: Rows up to which a side is broadcast; beyond, both sides are shuffled on their keys.
 BROADCAST_ROWS = 100_000
+#: Numbers that a block of queries and its best scores hold, and rows that are multiplied with them at a time.
+DENSE, SLICE = 4_000_000, 512
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -195,41 +197,58 @@ def inner(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "query_id", id_col: str = "chunk_id", vector_col: str = "vector", most: int = 2_000) -> DataFrame:
-    """Exact inner-product search: blocks of at most ``most`` queries, broadcast, times batches of rows as matrices; k of each batch leave it.
+    """Exact inner-product search: queries, broadcast, times slices of rows as matrices, ``most`` queries at a time; a task passes on the k best of all its rows.
 
     Vectors that are null take no part, nor do those whose length isn't the queries'; equal scores: smaller id first.
     """
     context, schema = vectors.sparkSession.sparkContext, f"{query_col} {queries.schema[query_col].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col), F.col(vector_col).alias("q"))
-    n = max(1, -(-asked.count() // most))
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v"), order_key(F.col(id_col)).alias("o"))
+    asked = kept(queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col), F.col(vector_col).cast("array<double>").alias("q")))
+    # in the order of ids a later row of an equal score never comes in
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v")).sortWithinPartitions(order_key(F.col(id_col)))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(1)).alias("width")).first()
+    n = max(1, -(-size["n"] * (size["width"] + 2 * k) // DENSE))
     out = None
     for block in range(n):
-        some = asked.where(F.pmod(F.xxhash64(query_col), F.lit(n)) == block).collect()
-        shared = context.broadcast(([r[0] for r in some], [r[1] for r in some]))
-
-        def top(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, lists = shared.value
-            widths = np.array([len(v) for v in lists])
-            groups = [(at, np.array([lists[i] for i in at], np.float64)) for w in np.unique(widths) for at in [np.flatnonzero(widths == w)]]
-            for frame in frames:
-                length = frame["v"].map(len).to_numpy()
+        some = asked.where(F.pmod(F.xxhash64(query_col), F.lit(n)) == block).toArrow().combine_chunks()
+        shared = context.broadcast((pa.array(some.column(query_col).to_pylist(), some.schema.field(query_col).type), by_width(pa.array(some.column("q").to_pylist(), pa.list_(pa.float64())))))
+
+        def top(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, groups = shared.value
+            best, place = np.full((len(names), k), -np.inf), np.full((len(names), k), -1)
+            ids, before = [], 0
+            for batch in batches:
+                ids.append(batch.column(id_col))
+                known = {m.shape[1]: (own, m) for own, m in by_width(batch.column("v"))}
                 for at, q in groups:
-                    own = frame[length == q.shape[1]]
-                    if own.empty:
-                        continue
-                    order = sorted(range(len(own)), key=[(o["kind"], o["value"] or 0, o["id"]) for o in own["o"]].__getitem__)
-                    own = own.iloc[order]
-                    scores = q @ np.stack(own["v"].to_list()).T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({query_col: np.repeat([ids[i] for i in at], best.shape[1]), id_col: own[id_col].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
-
-        scored = rows.mapInPandas(top, schema)
+                    own, m = known.get(q.shape[1], ((), q[:0]))
+                    for begin in range(0, len(own), SLICE):
+                        for first in range(0, len(at), most):
+                            part = at[first : first + most]
+                            scores = q[first : first + most] @ m[begin : begin + SLICE].T
+                            r = np.flatnonzero((scores > best[part, -1:]).any(axis=1))
+                            both = np.concatenate([best[part[r]], np.where(np.isnan(scores[r]), -np.inf, scores[r])], axis=1)
+                            turn = np.concatenate([place[part[r]], np.broadcast_to(before + own[begin : begin + SLICE], (len(r), scores.shape[1]))], axis=1)
+                            pick = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                            best[part[r]], place[part[r]] = np.take_along_axis(both, pick, 1), np.take_along_axis(turn, pick, 1)
+                before += batch.num_rows
+            at, c = np.nonzero(best > -np.inf)
+            if len(at):
+                found = pa.chunked_array(ids).take(pa.array(place[at, c])).combine_chunks()
+                yield from pa.table([names.take(pa.array(at)), found, pa.array(best[at, c])], [query_col, id_col, "score"]).to_batches(max_chunksize=100_000)
+
+        scored = rows.mapInArrow(top, schema)
         out = scored if out is None else out.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), order_key(F.col(id_col))))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def by_width(lists: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    width, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    begins = np.cumsum(width) - width
+    return [(at, flat[begins[at][:, None] + np.arange(w)]) for w in np.unique(width) for at in [np.flatnonzero(width == w)]]
+
+
 def adjusted(raw: Column, weight: Column | float = 1.0) -> Column:
     """A weight over one helps scores of either sign."""
     return F.when(raw >= 0, raw * weight).otherwise(raw / weight)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import varint
-from quarry.operators import mining, partitions, retrieval, rules, signals
+from quarry.operators import metrics, mining, partitions, retrieval, rules, signals
 from quarry.plans import recipe
 
 
@@ -80,3 +80,31 @@ def test_a_judge_reads_each_chunk_once(spark):
     ledger = recipe.run(plan, signals.channel(pairs, "first", kind="rank", value=None, rank="rank"), pairs, rows, {"s": scorer}).ledger
     assert ledger.count() == 5 + 3 * 5 + 3 * 2 and ledger.count() == 26
     assert read.value == 5 + 2
+
+
+def test_dense_search_passes_on_k_of_a_task(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(str(i), rng.integers(-2, 3, 4 if i % 9 else 3).astype(float).tolist() if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(vectors, "chunk_id string, vector array<double>").repartition(3)
+    asked = [(str(i), v) for i, v in vectors[1:40] if v]
+    found = retrieval.dense_top_k(spark.createDataFrame(asked, "query_id string, vector array<double>"), df, 5, most=7)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in found.collect()}
+    want = {}
+    for q, a in asked:
+        order = sorted((-float(np.dot(a, v)), int(i)) for i, v in vectors if v and len(v) == len(a))
+        want |= {(q, n): (str(i), -s) for n, (s, i) in enumerate(order[:5], 1)}
+    assert got == want
+    wide = len({i for i, v in asked if len(v) == 4})
+    assert wide > 10 and found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one pass, though seven queries at a time
+
+
+def test_gold_of_a_class_is_not_paired_with_its_queries(spark):
+    contexts = spark.range(60).selectExpr("id as context_id", "id % 4 as label")
+    asked = contexts.where("context_id % 5 = 0").selectExpr("context_id as query_id", "label")
+    ranking = spark.range(150).selectExpr("id % 10 * 5 as query_id", "pmod(xxhash64(id), 60) as context_id", "cast(id / 10 as int) + 1 as rank")
+    gold = asked.join(contexts, "label").select("query_id", "context_id")
+    both = metrics.class_recall_at(ranking, asked, contexts, 7), metrics.recall_at(ranking, gold, 7)
+    assert both[0].first()["recall"] == pytest.approx(both[1].first()["recall"]) and both[0].first()["queries"] == 12
+    top = ranking.where("rank <= 5")
+    got, want = (f.first() for f in (metrics.class_recall_precision(top, asked, contexts), metrics.recall_precision(top, gold)))
+    assert tuple(got) == pytest.approx(tuple(want))
