@@ -34,23 +34,19 @@ def positive_problems(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return foreign.unionByName(score).unionByName(twice)
 
 
-def gold_scores(hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """(query_id, source, gold_score): in each source, that of the gold context there that is smallest as a string."""
-    found = hits.join(gold.select("query_id", "context_id"), ["query_id", "context_id"], "left_semi")
-    first = found.groupBy("query_id", "source", "context_id").agg(F.min_by("score", "rank").alias("score"))
-    return first.groupBy("query_id", "source").agg(F.min_by("score", F.col("context_id").cast("string")).alias("gold_score"))
-
-
 def hard_negatives(hits: DataFrame, gold: DataFrame, n: int = HARD, top: int = TOP, share: float = SHARE, method: str = "minmax") -> DataFrame:
     """Hits (query_id, source, context_id, rank, score) to each query's n hardest contexts that score under ``share`` of the gold one.
 
-    A source without a gold context doesn't count. Contributions are min-max scores of a source's first ``top`` or
+    The gold score of a source is that of its gold context that is smallest as a string; a source without one doesn't count. Contributions are min-max scores of a source's first ``top`` or
     1 / (60 + place); the source of the largest one is named, ties by its name.
     """
     if method not in ("minmax", "rrf"):
         raise ValueError(f"unknown method {method}")
-    known = hits.join(gold_scores(hits, gold), ["query_id", "source"]).where(F.col("score") < share * F.col("gold_score"))
-    known = known.join(gold.select("query_id", "context_id"), ["query_id", "context_id"], "left_anti")
+    # the gold contexts come as an array of their query, so that rows are dealt by the query once, however many steps follow
+    own = gold.groupBy("query_id").agg(F.collect_set("context_id").alias("golds"))
+    known = hits.join(own, "query_id").withColumn("gold", F.coalesce(F.array_contains("golds", F.col("context_id")), F.lit(False))).drop("golds")
+    least = F.min(F.when(F.col("gold") & F.col("rank").isNotNull(), F.struct(F.col("context_id").cast("string").alias("c"), F.col("rank").alias("r"), F.col("score").alias("s"))))
+    known = known.withColumn("limit", share * least.over(Window.partitionBy("query_id", "source"))["s"]).where(~F.col("gold") & (F.col("score") < F.col("limit")))
     once = known.groupBy("query_id", "source", "context_id").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "rank"))
     first = once.withColumn("place", place).where(F.col("place") <= top)
@@ -108,11 +104,14 @@ def reranker_pairs(hits: DataFrame, gold: DataFrame, after: int = 10, each: int
 
     ``hits`` has source_place. The gold context is the first, by ``gold_place``, that the first source with any has.
     """
-    both = hits.join(gold.select("query_id", "context_id", "gold_place"), ["query_id", "context_id"])
-    chosen = both.groupBy("query_id").agg(F.min(F.struct("source_place", "gold_place", "context_id"))["context_id"].alias("gold_context"))
-    at = hits.join(chosen, "query_id").where(F.col("context_id") == F.col("gold_context")).groupBy("query_id", "source", "gold_context").agg(F.min("rank").alias("gold_rank"))
-    later = hits.join(at, ["query_id", "source"]).where((F.col("rank") > F.col("gold_rank")) & (F.col("rank") <= F.col("gold_rank") + after))
-    later = later.join(gold.select("query_id", "context_id"), ["query_id", "context_id"], "left_anti")
+    own = gold.groupBy("query_id").agg(F.collect_list(F.struct("context_id", "gold_place")).alias("golds"))
+    query, source = Window.partitionBy("query_id"), Window.partitionBy("query_id", "source")
+    place_of = F.array_min(F.transform(F.filter("golds", lambda g: g["context_id"] == F.col("context_id")), lambda g: g["gold_place"]))
+    rows = hits.join(own, "query_id").withColumn("gold_place", place_of).withColumn("gold", F.coalesce(F.exists("golds", lambda g: g["context_id"] == F.col("context_id")), F.lit(False))).drop("golds")
+    chosen = F.min(F.when(F.col("gold"), F.struct("source_place", "gold_place", "context_id"))).over(query)["context_id"]
+    rows = rows.withColumn("gold_context", chosen).where("gold_context is not null")
+    rows = rows.withColumn("gold_rank", F.min(F.when(F.col("context_id") == F.col("gold_context"), F.col("rank"))).over(source))
+    later = rows.where((F.col("rank") > F.col("gold_rank")) & (F.col("rank") <= F.col("gold_rank") + after) & ~F.col("gold"))
     first = later.withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "context_id").orderBy("source_place", "rank"))).where("turn = 1")
     place = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))
     return first.withColumn("place", place).where(F.col("place") <= each).select("query_id", "gold_context", "source", "context_id", "rank")

@@ -108,3 +108,36 @@ def test_gold_of_a_class_is_not_paired_with_its_queries(spark):
     top = ranking.where("rank <= 5")
     got, want = (f.first() for f in (metrics.class_recall_precision(top, asked, contexts), metrics.recall_precision(top, gold)))
     assert tuple(got) == pytest.approx(tuple(want))
+
+
+def exchanges(df, name: str = "Exchange hashpartitioning") -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_negatives_deal_rows_by_the_query_once(spark):
+    hits = spark.range(4000).selectExpr("id % 40 as query_id", "concat('s', id % 3) as source", "id % 3 as source_place", "pmod(xxhash64(id), 60) as context_id", "cast(id / 40 as int) + 1 as rank", "pmod(xxhash64(id, 2), 100) / 100.0d as score")
+    gold = spark.range(90).selectExpr("id % 45 as query_id", "pmod(xxhash64(id, 9), 60) as context_id", "id as gold_place")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        one = hits.repartition(6, "query_id")
+        assert exchanges(mining.hard_negatives(one, gold)) <= 2 and exchanges(mining.reranker_pairs(one, gold)) <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows, own = hits.toPandas(), gold.toPandas()
+    got = {(r["query_id"], r["source"], r["context_id"]): r["score"] for r in mining.hard_negatives(hits, gold, n=10**6, top=10**6, method="rrf").selectExpr("query_id", "inline(support)", "context_id").collect()}
+    want = {}
+    for (q, s), part in rows.groupby(["query_id", "source"]):
+        g = set(own[own.query_id == q].context_id)
+        found = part[part.context_id.isin(g)]
+        if len(found):
+            limit = 0.95 * min(found.itertuples(), key=lambda r: (str(r.context_id), r.rank)).score
+            for c, x in part[~part.context_id.isin(g) & (part.score < limit)].groupby("context_id"):
+                want[q, s, c] = x.loc[x["rank"].idxmin()].score
+    assert got == want and got
+
+
+def test_bonus_of_neighbours_of_one_question_is_not_summed(spark):
+    similar = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.7), (3, 2, 0.4), (4, 9, 0.9)], "query_id long, train_id long, similarity double")
+    gold = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 11), (2, 12)], "train_id long, context_id long")
+    got = {(r["query_id"], r["context_id"]): round(r["bonus"], 9) for r in rules.neighbour_bonus(similar, gold, k=2).collect()}
+    assert got == {(1, 10): 0.9, (1, 11): 2.6, (1, 12): 0.8, (2, 10): 0.7, (2, 11): 1.4}
