@@ -14,7 +14,8 @@ from quarry.functions import varint
 from quarry.functions.text import order_key, years
 from quarry.functions.vocabulary import FUSION_WEIGHTS
 from quarry.operators.mining import placed
-from quarry.operators.partitions import TASK_ROWS, dealt
+from quarry.operators.partitions import TASK_ROWS, dealt, parts
+from quarry.operators.retrieval import kept, small
 
 SOURCES = tuple(FUSION_WEIGHTS)
 FUSION_K = 15
@@ -98,8 +99,17 @@ def similarities(left: DataFrame, right: DataFrame, left_id: str, right_id: str)
 def neighbour_bonus(similar: DataFrame, gold: DataFrame, k: int = NEIGHBOURS, least: float = SIMILAR) -> DataFrame:
     """(query_id, context_id, bonus): the gold contexts of the k most similar training questions (query_id, train_id, similarity)."""
     turn = F.row_number().over(by_query(F.desc("similarity"), "train_id"))
-    near = similar.withColumn("turn", turn).where((F.col("turn") <= k) & (F.col("similarity") >= least))
-    return near.join(gold, "train_id").groupBy("query_id", "context_id").agg(F.sum("similarity").alias("bonus"))
+    near = similar.withColumn("turn", turn).where((F.col("turn") <= k) & (F.col("similarity") >= least)).select("query_id", "train_id", "similarity")
+    own = gold.select("train_id", "context_id").groupBy("train_id", "context_id").agg(F.count("*").alias("times"))
+    met = near.join(own.groupBy("train_id").agg(F.count("*").alias("size")), "train_id")  # a question without gold leaves here
+    met = kept(met.withColumn("several", F.count("*").over(Window.partitionBy("query_id")) > 1))
+    # what comes out may be far more than went in, so tasks are cut by it: the rows of a query by the question, or, to be summed, by the context
+    n = parts(met, met.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    rows = met.select("query_id", "train_id", "similarity", "several")
+    joined = rows.repartition(n, "query_id").join(small(own), "train_id")
+    alone = joined.where(~F.col("several")).select("query_id", "context_id", (F.col("similarity") * F.col("times")).alias("bonus"))
+    summed = joined.where("several").repartition(n, "query_id", "context_id").groupBy("query_id", "context_id").agg(F.sum(F.col("similarity") * F.col("times")).alias("bonus"))
+    return alone.unionByName(summed)
 
 
 def together(gold: DataFrame, group: str = "train_id", item: str = "context_id") -> DataFrame:
