@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import varint
+from quarry.functions import text, varint
 from quarry.operators import metrics, mining, partitions, retrieval, rules, signals
 from quarry.plans import recipe
 
@@ -141,3 +141,17 @@ def test_bonus_of_neighbours_of_one_question_is_not_summed(spark):
     gold = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 11), (2, 12)], "train_id long, context_id long")
     got = {(r["query_id"], r["context_id"]): round(r["bonus"], 9) for r in rules.neighbour_bonus(similar, gold, k=2).collect()}
     assert got == {(1, 10): 0.9, (1, 11): 2.6, (1, 12): 0.8, (2, 10): 0.7, (2, 11): 1.4}
+
+
+def test_fields_are_searched_once(spark):
+    rows = spark.createDataFrame([(["Số: 1/2020/QĐ-UBND", "TCVN ISO 9001:2015", "ngày 3 tháng 12 năm 2021"],), (["TCVN  5:1999", "ngày 31 tháng 2 năm 2020"],), (["x"],), (None,)], "p array<string>")
+    found = rows.select(text.document_number(F.col("p")).alias("n"), text.promulgation_date(F.col("p")).alias("d"))
+    assert [tuple(r) for r in found.collect()] == [("1/2020/QĐ-UBND", "2021-12-03"), ("TCVN 5:1999", ""), ("", ""), ("", "")]
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("_composed(") == 1 and "RLIKE(array_join" not in tree
+
+
+def test_tidy_lines_are_as_squeezed_ones(spark):
+    values = ["a b", "a  b", " a", "a ", "a\n", "\u200ba", "Điều 5. Ôn", "a\u1680b", "a\u00a0b", "", "é ỹ", "\ufeff", "a\tb", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(text.tidied(F.col("v")).alias("a"), text.squeezed(F.col("v")).alias("b"))
+    assert all(r["a"] == r["b"] for r in rows.collect())
